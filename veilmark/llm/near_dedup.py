@@ -24,14 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_kernels
-from .staging import Stage, connected_components
+from .staging import Stage, connected_components, ship
 
-cloudpickle.register_pickle_by_value(near_kernels)
+ship(near_kernels, __name__)
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id
+from .decontaminate import benchmark_hits
 from .near_dedup import NearParams, near_duplicates
 
 
@@ -17,8 +20,21 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"), NearParams(num=85, den=100))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
+    model = language_id.train(spark, docs.where(~held_out))
+    return language_id.predict(spark, docs, model, F.col("doc_id"), held_out)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_dedup": op2_near_dedup}
+    return {"op2_near_dedup": op2_near_dedup, "op8_language_id": op8_language_id, "op9_decontaminate": op9_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:

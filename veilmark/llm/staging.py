@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -11,8 +12,14 @@ from pyspark.sql import functions as F
 
 from . import textscan
 
-# Kernels travel with the task, so executors need no copy of this package.
-cloudpickle.register_pickle_by_value(textscan)
+
+def ship(*modules) -> None:
+    """Kernels and parameters travel with the task, so executors need no copy of this package."""
+    for module in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[module] if isinstance(module, str) else module)
+
+
+ship(textscan)
 
 _FALLBACK: dict[str, str] = {}
 
