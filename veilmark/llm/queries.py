@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, toxicity
 from .decontaminate import benchmark_hits
 from .near_dedup import NearParams, near_duplicates
+from .packing import pack
+from .passages import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,14 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"), NearParams(num=85, den=100))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(spark, _table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
@@ -33,8 +43,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    # the labels know toxic and low quality: the chain's second category is toxic text that is also junk
+    labels = labels.select("doc_id", "toxic", (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_junk"))
+    model = toxicity.train(spark, docs, labels, ["toxic", "toxic_junk"])
+    return toxicity.predict(spark, docs, model).where("flagged")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_dedup": op2_near_dedup, "op8_language_id": op8_language_id, "op9_decontaminate": op9_decontaminate}
+    return {"op2_near_dedup": op2_near_dedup, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_language_id": op8_language_id, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
