@@ -5,8 +5,8 @@ class, represented by its smallest doc_id.  Representatives are posted under coo
 signature, two coordinates to a posting key.  A pair with T of K coordinates equal has at least
 ``K/2 - (K - T)`` equal keys, so a text with fewer keys in lists of two or more entries has no partner and
 leaves.  The others meet by prefix: shingles in one global order, rarest first, where only the first
-``n - ceil(s n) + 1`` of each set need posting and the long lists behind them are skipped.  Pairs of such a
-list count their signature collisions, those below T go, and the rest are confirmed on full sets.
+``n - ceil(s n) + 1`` of each set need posting and the long lists behind them are skipped, and only entries
+whose places in these prefixes leave room for the similarity meet.  Pairs of such a list count their signature collisions, those below T go, and the rest are confirmed on full sets.
 
 Large groups don't make all pairs: every entry of a list is first held against two leaders of that list, the
 groups so linked are joined, and only entries of *different* groups of a list then meet as pairs.
@@ -19,12 +19,10 @@ text are copies, of which the smallest doc_id stays; an empty table gives no row
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_kernels
@@ -67,20 +65,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = N
 
     slots = _slot_order(texts, p)
     order = spark.sparkContext.broadcast(slots)
-    posted = stage.table(texts.select("rep", "text").mapInArrow(near_kernels.poster(p, order), "token long, rep long, n int"), "posted")
-
-    ends = posted.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    ends = stage.table(ends, "leaders")
-    led = posted.join(ends, "token").select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p"))
-    star = stage.table(_confirmed(led.select("p.*").where("a < b").distinct(), texts, p), "star")
+    posted = stage.table(texts.select("rep", "text").mapInArrow(near_kernels.poster(p, order), "token long, rep long, n int, at int"), "posted")
+
+    # the entry with the fewest rarer shingles is the likeliest centre of its group
+    ends = posted.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.struct("rep", "n", "at")).alias("x"), F.min(F.struct("at", "rep", "n")).alias("y")).where("low < high")
+    ends = stage.table(ends.select("token", "x", "y"), "leaders")
+    led = posted.join(ends, "token").select("rep", "n", "at", F.explode(F.array(F.struct("x.rep", "x.n", "x.at"), F.struct("y.rep", "y.n", "y.at"))).alias("o"))
+    led = led.where("rep <> o.rep").where(_reachable(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), p)).select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+    star = stage.table(_confirmed(led, texts, p), "star")
     groups = connected_components(stage, star, "cc1")
 
-    grouped = posted.join(groups, posted.rep == groups.node, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("grp"))
+    grouped = posted.join(groups, posted.rep == groups.node, "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("grp"))
     mixed = grouped.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
     open_lists = stage.table(grouped.join(mixed, "token", "left_semi"), "open")
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    # equal tokens, other groups, and sizes that can still reach the similarity
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & (F.col("x.n") * p.den >= F.col("y.n") * p.num) & (F.col("y.n") * p.den >= F.col("x.n") * p.num))
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & _reachable(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), p)
+    across = x.join(y, meet)
     across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     links = stage.table(star.union(_confirmed(across, texts, p)), "links")
     groups = connected_components(stage, links, "cc2")
@@ -92,6 +92,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = N
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _reachable(n: Column, at: Column, m: Column, bt: Column, p: NearParams) -> Column:
+    """Whether sets of n and m shingles whose first common one is at places at and bt can be similar enough:
+    no rarer shingle is common, so at most the rest of either set is."""
+    return F.least(n - at, m - bt) * (p.num + p.den) >= (n + m) * p.num
+
+
 #: rows of (long, 256-byte signature) that may be broadcast: about 100 MB
 BROADCAST_ROWS = 250_000
 

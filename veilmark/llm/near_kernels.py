@@ -80,7 +80,7 @@ def poster(p, order):
         levels = np.frombuffer(order.value, dtype=np.uint8)
         for batch in batches:
             reps = batch.column(0).to_numpy()
-            tokens, owners, sizes = [], [], []
+            tokens, owners, sizes, places = [], [], [], []
             for row, found in _sets(batch, p):
                 n = len(found)
                 keep = n - (n * p.num + p.den - 1) // p.den + 1
@@ -89,8 +89,9 @@ def poster(p, order):
                 tokens.append(first)
                 owners.append(np.full(len(first), reps[row]))
                 sizes.append(np.full(len(first), n, dtype=np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], owners, sizes)], names=["token", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], owners, sizes, places)], names=["token", "rep", "n", "at"])
 
     return run
 
