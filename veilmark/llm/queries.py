@@ -4,24 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, quality, toxicity
 from .decontaminate import benchmark_hits
 from .near_dedup import NearParams, near_duplicates
 from .packing import pack
 from .passages import repeated_passages
+from .pii import personal_data
+from .secrets import secret_spans
+from .url_filter import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"), NearParams(num=85, den=100))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(spark, _table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = quality.judged(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rows.select("doc_id", *[F.col(f"q_{n}").alias(n) for n in names], F.col("q_rule").alias("rule"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(spark, _table(spark, sf_dir, "documents"))
 
@@ -51,8 +73,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(spark, docs, model).where("flagged")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_near_dedup": op2_near_dedup, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_language_id": op8_language_id, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
+    every = [op1_url_filter, op2_near_dedup, op3_secrets, op4_pii, op5_quality, op6_substring_dedup, op7_packing, op8_language_id, op9_decontaminate, op10_toxicity]
+    return {f.__name__: f for f in every} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
