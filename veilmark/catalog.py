@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import patterns as P
-from .operators import anonymize, audit, drift, leakage, metadata, ml, pii_scan, policy, profile, provenance, reid, text
-from .plans import gate
+from .operators import anonymize, audit, drift, leakage, metadata, ml, pii_scan, policy, profile, provenance, references, reid, text
+from .plans import gate, preprocess
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -494,6 +495,64 @@ def stratified_split(s, d):
     return ml.stratified_split(t(s, d, "documents").select("doc_id", "lang"), ["lang"], 0.2, "doc_id")
 
 
+@query("table_types", "SELECT 'p_partkey' AS \"column\", 'bigint' AS kind UNION ALL SELECT 'p_retailprice', 'double' UNION ALL SELECT 'p_brand', 'string' UNION ALL SELECT 'code', 'string'")
+def table_types(s, d):
+    p = t(s, d, "part").select(F.col("p_partkey").cast("string").alias("p_partkey"), F.col("p_retailprice").cast("string").alias("p_retailprice"), "p_brand", F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("code"))
+    return s.createDataFrame(profile.restore_types(p).dtypes, "column string, kind string")
+
+
+@query("references")
+def reference_values(s, d):
+    return references.references(audit.targets(_records(s, d)), 5).select("id", "pos", F.size("references").alias("n"))
+
+
+@query("entity_audit")
+def entity_audit(s, d):
+    """A whole audit with a stand-in scorer: targets, references, scores, evidence, correction, risk."""
+    corpus = tables.synthetic_corpus(s, 200, 3)
+    known = [r.text for r in corpus.orderBy("id").limit(60).collect()]
+    asked = references.references(audit.targets(corpus), 5, "synthetic")
+    rows = audit.score_texts(references.variants(asked), references.NgramScorer(known))
+    parts = rows.select("id", "pos", "variant", audit.token_parts(F.col("tokens"), F.col("start"), F.col("end")).alias("p"))
+    scored = parts.select("id", "pos", "variant", audit.mean_loss(F.col("p.value")).alias("score"))
+    control = F.max(F.when(F.col("variant") == 1, F.col("score")))
+    wide = scored.groupBy("id", "pos").agg(F.max(F.when(F.col("variant") == 0, F.col("score"))).alias("member"), control.alias("control"))
+    wide = wide.join(asked.select("id", "pos", "entity_type"), ["id", "pos"]).select(F.concat_ws("#", "id", "pos").alias("entity"), "entity_type", F.lit("loss").alias("method"), "member", "control").cache()  # four actions follow
+    found = audit.entity_risk(audit.benjamini_hochberg(audit.gather(wide, ["loss"], "loss")))
+    return audit.severity_counts(found)
+
+
+@query("preprocess")
+def preprocess_query(s, d):
+    train, test, _ = preprocess.preprocess(tables.demo_table(s, 600, 1), "income", 3)
+    return train.select(F.lit("train").alias("side")).union(test.select(F.lit("test"))).groupBy("side").agg(F.count("*").alias("rows"))
+
+
+@query("set_operations", """SELECT 'union' AS op, count(*)::BIGINT AS n FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) UNION ALL SELECT 'intersect', count(*) FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'except', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'union all', count(*) FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels)""")
+def set_operations(s, d):
+    a, b = t(s, d, "documents").select("doc_id"), t(s, d, "labels").select("doc_id")
+    made = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b), "union all": a.union(b)}
+    out = None
+    for name, df in made.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("op"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("metric_deltas", "WITH m AS (SELECT event_type AS metric, round(avg(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN value END), 6) a, round(avg(CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN value END), 6) b FROM events GROUP BY 1) SELECT 'all' AS split, metric, round(b - a, 5) AS delta FROM m")
+def metric_deltas(s, d):
+    mean = lambda e: e.groupBy(F.lit("all").alias("split"), F.col("event_type").alias("metric")).agg(F.round(F.avg("value"), 6).alias("value"))
+    old, new = _halves(s, d)
+    return provenance.metric_deltas(mean(old), mean(new)).select("split", "metric", _r("delta", 5))
+
+
+@query("retry_after")
+def retry_after(s, d):
+    e = t(s, d, "events").where("event_type in ('error', 'purchase')")
+    return provenance.retry_after(e, "user_id", "ts", F.col("event_type") == "purchase", 3, 43_200).where("blocked").select("event_id", "retry_after")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

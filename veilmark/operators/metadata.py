@@ -103,3 +103,39 @@ def fresh_insert(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFram
 def with_defaults(rows: DataFrame, settings: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
     out = rows.join(settings, key, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def findings_by_type(audits: DataFrame, column: str = "findings") -> DataFrame:
+    """entity_type, n: high and critical findings of a nested column, most first."""
+    rows = audits.select(F.explode(column).alias("f")).select("f.*").where(F.col("severity").isin("high", "critical"))
+    return rows.groupBy("entity_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity_type")
+
+
+def recurring_types(rounds: DataFrame, earlier: int, later: int) -> DataFrame:
+    """Types that are risky in both of two rounds (round, entity_type)."""
+    at = lambda r: rounds.where(F.col("round") == r).select("entity_type")
+    return at(earlier).intersect(at(later))
+
+
+def diligence(versions: DataFrame, datasets: DataFrame, attestations: DataFrame) -> DataFrame:
+    """version_id, parent_version, datasets, unknown_consent, verified for each version."""
+    parent = versions.select(F.col("version_id").alias("parent_id"), F.col("version").alias("parent_version"))
+    sets = datasets.groupBy("version_id").agg(F.array_sort(F.collect_set("name")).alias("datasets"), F.count_if(F.col("consent").isNull() | (F.col("consent") == "unknown")).alias("unknown_consent"))
+    signed = attestations.groupBy("version_id").agg(F.bool_and("verified").alias("verified"))
+    rows = versions.join(parent, "parent_id", "left").join(sets, "version_id", "left").join(signed, "version_id", "left")
+    return rows.select("version_id", "parent_version", "datasets", F.coalesce("unknown_consent", F.lit(0)).alias("unknown_consent"), F.coalesce("verified", F.lit(False)).alias("verified"))
+
+
+def summary(datasets: DataFrame, findings: DataFrame, risk: DataFrame) -> DataFrame:
+    """One row: rows, identifier_columns, min_k."""
+    rows = datasets.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))
+    ids = findings.where("direct_identifier").agg(F.count_distinct("location").alias("identifier_columns"))
+    return rows.crossJoin(ids).crossJoin(risk.agg(F.min("k_anonymity").alias("min_k")))  # one row each
+
+
+def write_findings(findings: DataFrame, path: str, fail_on: str = "high") -> bool:
+    """Write findings as JSON lines; whether any is at least as severe as fail_on."""
+    from ..functions.patterns import at_least
+
+    findings.write.mode("overwrite").json(path)
+    return not findings.where(at_least(F.col("severity"), fail_on)).isEmpty()

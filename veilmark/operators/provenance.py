@@ -161,3 +161,12 @@ def login_throttle(attempts: DataFrame, key: str, at: str, success: Column, limi
     recent = Window.partitionBy(key, "__seg").orderBy("__s").rangeBetween(-(seconds * 1_000_000 - 1), Window.currentRow)
     out = out.withColumn("failures", F.sum(1 - F.col("__ok")).over(recent))
     return out.withColumn("blocked", F.col("failures") >= limit).drop("__s", "__ok", "__seg")
+
+
+def retry_after(attempts: DataFrame, key: str, at: str, success: Column, limit: int = 5, seconds: int = 900) -> DataFrame:
+    """attempts with retry_after: seconds until the limit-th newest failure leaves the window, 0 where not blocked."""
+    out = login_throttle(attempts, key, at, success, limit, seconds)
+    order = Window.partitionBy(key).orderBy(at)
+    oldest = F.lag(F.unix_seconds(F.col(at).cast("timestamp")), limit - 1).over(order)
+    wait = oldest + seconds - F.unix_seconds(F.col(at).cast("timestamp"))
+    return out.withColumn("retry_after", F.when(F.col("blocked"), F.greatest(wait, F.lit(0))).otherwise(0))
