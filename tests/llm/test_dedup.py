@@ -173,3 +173,27 @@ def test_decontamination_query(spark, sf):
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
         if r.doc_id > 40:
             break
+
+
+def test_compact_windows_hold_every_subsequence():
+    import numpy as np
+
+    from veilmark.llm.passage_kernels import compact_windows
+
+    r = np.random.default_rng(0)
+    for _ in range(60):
+        v, w = r.integers(0, r.integers(2, 40), r.integers(1, 40)), int(r.integers(1, 9))
+        nodes = list(zip(*compact_windows(v, w), strict=True))
+        for i in range(len(v)):
+            for j in range(i + w, len(v) + 1):
+                assert any(a <= i <= c < j <= b and v[c] == v[i:j].min() for a, c, b in nodes)
+
+
+def test_very_long_and_monotonous_texts(spark):
+    long = "same " * 300_000
+    df = spark.createDataFrame([(1, long), (2, long + "end"), (3, "x" * 2_000_000), (4, "a b " * 100_000)], "doc_id long, text string")
+    found = {(f.doc_id, f.other_id) for f in repeated_passages(spark, df).collect()}
+    assert found == {(2, 1)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, df).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 3), 4: (2, 4)}
+    assert {r.doc_id: r.n_words for r in benchmark_hits(spark, df, df.selectExpr("doc_id as item_id", "'q q q' as text")).collect()}[1] == 300_000
