@@ -197,3 +197,52 @@ def test_very_long_and_monotonous_texts(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, df).collect()}
     assert got == {1: (1, 1), 2: (2, 2), 3: (1, 3), 4: (2, 4)}
     assert {r.doc_id: r.n_words for r in benchmark_hits(spark, df, df.selectExpr("doc_id as item_id", "'q q q' as text")).collect()}[1] == 300_000
+
+
+def near_words(r, n):
+    return [f"u{r.randrange(10**9)}" for _ in range(n)]
+
+
+def test_like_passages_with_an_edit_at_every_place():
+    import numpy as np
+
+    from veilmark.llm import textscan as ts
+    from veilmark.llm.passage_kernels import passages
+    from veilmark.llm.passages import PassageParams
+
+    r, p = random.Random(8), PassageParams()
+    code = lambda w: ts.grams(np.array([hash(x) & (2**63 - 1) for x in w], dtype=np.uint64), 5)
+    for size in (55, 60, 90):
+        base = near_words(r, size)
+        for at in range(size):
+            for kind in ("replace", "insert", "delete"):
+                other = base[:at] + ([] if kind == "delete" else near_words(r, 1)) + base[at + (kind != "insert") :]
+                a, b = shingles(" ".join(base)), shingles(" ".join(other))
+                if len(a & b) >= 0.8 * len(a | b):
+                    got = passages(code(near_words(r, 9) + base + near_words(r, 9)), code(near_words(r, 4) + other + near_words(r, 9)), [], p)
+                    assert got and max(f[1] - f[0] for f in got) >= size - 6, (size, at, kind)
+
+
+def linked(found):
+    classes = collections.defaultdict(set)
+    for f in found:
+        classes[f.class_id] |= {f.doc_id, f.other_id}
+    return {(a, b) for c in classes.values() for a in c for b in c if a > b}
+
+
+def test_every_two_documents_of_a_passage_are_linked(spark):
+    r = random.Random(9)
+    common, longer, inner = near_words(r, 45), near_words(r, 15), near_words(r, 55)
+    outer = near_words(r, 30) + inner + near_words(r, 30)
+    pad = lambda: near_words(r, 60)
+    # 1 to 8 share a clause, 4 and 5 go on alike; 20 and 22 to 24 share what lies inside a longer passage of 22 and 23
+    rows = [(i, pad() + common + (longer if i in (4, 5) else []) + pad()) for i in range(1, 9)]
+    rows += [(20, pad() + inner + pad()), (22, pad() + outer + pad()), (23, pad() + outer + pad()), (24, pad() + inner + pad())]
+    edited = [*outer[:40], "edit", *outer[40:]]
+    rows += [(30, pad() + edited + pad())]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = repeated_passages(spark, df).collect()
+    want = {(b, a) for a in (20, 22, 23, 24, 30) for b in (20, 22, 23, 24, 30) if a < b}
+    assert {(5, 4)} <= linked(found) <= {(5, 4)} | want
+    assert {(b, a) for a, b in [(20, 22), (20, 23), (20, 24), (22, 23), (22, 24), (23, 24)]} <= linked(found)
+    assert any(f.doc_id == 30 and not f.exact and f.end - f.start >= 110 for f in found)
