@@ -45,6 +45,25 @@ def test_references(spark):
     assert sum(x[2] for x in scorer(["abc"])[0]) > sum(x[2] for x in scorer(["zzz"])[0])
 
 
+def test_references_search_whole_cells(spark):
+    from veilmark.functions.patterns import similar
+
+    values = [f"user{i:04d}@mail.test" for i in range(400)] + [f"U{i:03d}rare@mail.test" for i in range(3)]
+    rows = [(str(i), 0, "EMAIL", v, "", "") for i, v in enumerate(values)] + [("x", 0, "PIN", "12-4", "", ""), ("y", 0, "PIN", "long text", "", "")]
+    df = spark.createDataFrame(rows, "id string, pos int, entity_type string, value string, prefix string, suffix string")
+    got = references.references(df, 4, "corpus").collect()
+    assert len(got) == len(rows) and all(r.value not in r.references for r in got)
+    assert len({v for r in got for v in r.references}) > 300
+    by = {r.value: r.references for r in got}
+    assert all(set(by[v]) == set(values[400:]) - {v} for v in values[400:])
+    assert by["12-4"] == ["long text"] and by["long text"] == ["12-4"]
+    pairs = spark.createDataFrame([(v, x) for v in values for x in by[v]], "a string, b string")
+    assert pairs.where(~similar(F.col("a"), F.col("b"))).count() == 0
+    digits = spark.createDataFrame([(str(i), 0, "PIN", f"{i:02d}", "", "") for i in range(90)], df.schema)
+    made = references.references(digits, 3, "synthetic").collect()
+    assert len(made) == 90 and {v for r in made for v in r.references} and not {v for r in made for v in r.references} & {r.value for r in made}
+
+
 def test_documents():
     assert documents.bump_minor("1.4.2") == "1.5.0" and documents.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'.encode()
     assert documents.signing_payload({"x": 1, "signature": "s", "events": [1]}) == b'{"signature":null,"x":1}'

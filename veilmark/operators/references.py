@@ -5,50 +5,92 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import similar
+from ..functions.patterns import shape
 from .text import surrogate
 
 
+CELL = ["entity_type", "n", "like"]
+
+
+def _drawn(kind: Column, value: Column, n: int, seed: int) -> Column:
+    drawn = F.array(*[surrogate(kind, value, seed * 1000 + i) for i in range(1, 3 * n + 1)])
+    return F.array_distinct(F.filter(drawn, lambda x: x != value))
+
+
 def perturbed(kind: Column, value: Column, n: int, seed: int = 0) -> Column:
     """Up to n distinct values of the value's shape, none of them the value."""
-    drawn = F.array(*[surrogate(kind, value, seed * 1000 + i) for i in range(1, 3 * n + 1)])
-    return F.slice(F.array_distinct(F.filter(drawn, lambda x: x != value)), 1, n)
+    return F.slice(_drawn(kind, value, n, seed), 1, n)
 
 
-def corpus_pool(targets: DataFrame) -> DataFrame:
-    """entity_type, length, value: the distinct values of a corpus by the keys that look-alikes are searched under."""
-    return targets.select("entity_type", F.length("value").alias("n"), "value").distinct()
+def outside_corpus(targets: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """entity_type, value, made: up to n values of the value's shape that are no value of the corpus."""
+    asked = targets.select("entity_type", "value").distinct()
+    rows = asked.select("entity_type", "value", F.posexplode(_drawn(F.col("entity_type"), F.col("value"), n, seed)).alias("i", "v"))
+    free = rows.join(targets.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
+    return free.groupBy("entity_type", "value").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("i", "v"))), 1, n), lambda x: x["v"]).alias("made"))
 
 
-def from_corpus(targets: DataFrame, pool: DataFrame, n: int, seed: int = 0, per_cell: int = 64) -> DataFrame:
-    """id, pos, references: up to n similar values of the same type, in hash order.
+def _case(x: Column) -> Column:
+    return F.when(F.left(x, F.lit(1)).rlike(r"^\p{Lu}"), "case A").otherwise("case a")
 
-    The pool is cut to a fixed number of values for each (type, length) first, so a frequent type adds candidates
-    in proportion to its targets, not to its square; lengths within a quarter are reached by exploding them.
-    """
-    from pyspark.sql import Window
 
-    cell = Window.partitionBy("entity_type", "n").orderBy(F.xxhash64("value", F.lit(seed)), "value")
-    pool = pool.withColumn("rn", F.row_number().over(cell)).where(F.col("rn") <= per_cell).drop("rn")
+def corpus_pool(targets: DataFrame, seed: int = 0) -> DataFrame:
+    """entity_type, n, like, value, rn, size: the distinct values of a corpus, numbered in hash order in each cell that
+    look-alikes are searched in: length and shape, length and first case, and the whole type.
+
+    Numbers come from counts of 1,024 hash ranges of a cell, so no task sorts a whole type.
+    """
     size = F.length("value")
+    cells = F.array(F.struct(size.alias("n"), F.concat(F.lit("shape "), shape(F.col("value"))).alias("like")), F.struct(size.alias("n"), _case(F.col("value")).alias("like")), F.struct(F.lit(0).alias("n"), F.lit("type").alias("like")))
+    rows = targets.select("entity_type", "value").distinct().select("entity_type", F.explode(cells).alias("cell"), "value").select("entity_type", "cell.*", "value")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(1024)))
+    cell = Window.partitionBy(*CELL)
+    parts = rows.groupBy(*CELL, "part").agg(F.count("*").alias("k"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("k").over(cell.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("k").over(cell)).drop("k")
+    inside = Window.partitionBy(*CELL, "part").orderBy(F.xxhash64("value", F.lit(seed + 1)), "value")
+    return rows.withColumn("rn", F.row_number().over(inside)).join(parts, [*CELL, "part"]).withColumn("rn", F.col("before") + F.col("rn") - 1).drop("before", "part")
+
+
+def from_corpus(targets: DataFrame, pool: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """id, pos, references: up to n similar values of the same type, and any of the type where none is similar.
+
+    Each distinct candidate takes n + 1 numbers in a row, from a hashed one on, of each of its cells (lengths within a
+    quarter; see similar), so every value of a cell can be drawn and the work is in proportion to the candidates.
+    """
+    x = F.col("candidate")
+    size = F.length(x)
     slack = F.greatest(F.lit(1), F.bround(size * 0.25)).cast("int")
-    asked = targets.select("id", "pos", "entity_type", F.col("value").alias("candidate"), F.explode(F.sequence(F.greatest(F.lit(1), size - slack), size + slack)).alias("n"))
-    met = asked.join(pool, ["entity_type", "n"]).where((F.col("candidate") != F.col("value")) & similar(F.col("candidate"), F.col("value")))
+    digits = F.length(F.regexp_replace(x, r"\P{Nd}", "")) * 2 >= size
+    lengths = F.when(digits, F.array(size)).otherwise(F.sequence(F.greatest(F.lit(1), size - slack), size + slack))
+    like = F.when(digits, F.concat(F.lit("shape "), shape(x))).otherwise(_case(x))
+    cells = F.concat(F.transform(lengths, lambda k: F.struct(k.alias("n"), like.alias("like"))), F.array(F.struct(F.lit(0).alias("n"), F.lit("type").alias("like"))))
+    asked = targets.select("entity_type", F.col("value").alias("candidate")).distinct()
+    asked = asked.select("entity_type", "candidate", F.explode(cells).alias("cell")).select("entity_type", "candidate", "cell.*")
+    asked = asked.join(pool.select(*CELL, "size").distinct(), CELL)
+    asked = asked.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(n + 1), "size") - 1)))
+    asked = asked.withColumn("rn", F.pmod(F.pmod(F.xxhash64("candidate", "n", F.lit(seed)), F.col("size")) + F.col("step"), F.col("size"))).drop("step", "size")
+    met = asked.join(pool.drop("size"), [*CELL, "rn"]).where(x != F.col("value"))
     order = F.struct(F.xxhash64("value", "candidate", F.lit(seed)).alias("h"), "value")
-    return met.groupBy("id", "pos").agg(F.transform(F.slice(F.array_sort(F.collect_set(order)), 1, n), lambda x: x["value"]).alias("references"))
+    near, any_ = (F.array_sort(F.collect_set(F.when(test, order))) for test in (F.col("n") > 0, F.col("n") == 0))
+    found = met.groupBy("entity_type", "candidate").agg(near.alias("near"), any_.alias("any"))
+    picked = F.transform(F.slice(F.when(F.size("near") > 0, F.col("near")).otherwise(F.col("any")), 1, n), lambda r: r["value"])
+    return targets.select("id", "pos", "entity_type", F.col("value").alias("candidate")).join(found.select("entity_type", "candidate", picked.alias("references")), ["entity_type", "candidate"]).select("id", "pos", "references")
 
 
 def references(targets: DataFrame, n: int, source: str = "mix", seed: int = 0) -> DataFrame:
     """targets with column references: from the corpus, by perturbation, or the first topped up by the second."""
-    made = perturbed(F.col("entity_type"), F.col("value"), n, seed)
+    none = F.array().cast("array<string>")
+    out = targets
+    if source != "corpus":
+        out = out.join(outside_corpus(targets, n, seed), ["entity_type", "value"], "left").select(*targets.columns, F.coalesce("made", none).alias("made"))
     if source == "synthetic":
-        return targets.withColumn("references", made)
-    found = targets.join(from_corpus(targets, corpus_pool(targets), n, seed), ["id", "pos"], "left")
-    own = F.coalesce("references", F.array().cast("array<string>"))
-    return found.withColumn("references", own if source == "corpus" else F.slice(F.array_distinct(F.concat(own, made)), 1, n))
+        return out.withColumnRenamed("made", "references")
+    out = out.join(from_corpus(targets, corpus_pool(targets, seed), n, seed), ["id", "pos"], "left")
+    own = F.coalesce("references", none)
+    return out.withColumn("references", own if source == "corpus" else F.slice(F.array_distinct(F.concat(own, "made")), 1, n)).drop("made")
 
 
 def variants(targets: DataFrame) -> DataFrame:
