@@ -182,11 +182,16 @@ def test_compact_windows_hold_every_subsequence():
 
     r = np.random.default_rng(0)
     for _ in range(60):
-        v, w = r.integers(0, r.integers(2, 40), r.integers(1, 40)), int(r.integers(1, 9))
-        nodes = list(zip(*compact_windows(v, w), strict=True))
-        for i in range(len(v)):
-            for j in range(i + w, len(v) + 1):
-                assert any(a <= i <= c < j <= b and v[c] == v[i:j].min() for a, c, b in nodes)
+        sizes, w = r.integers(1, 40, 3), int(r.integers(1, 9))
+        v = r.integers(1, r.integers(3, 40), sizes.sum()).astype(np.uint64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        nodes = list(zip(*compact_windows(v, starts, ends, w), strict=True))
+        assert all(b - a >= w and v[c] == v[a:b].min() for a, c, b in nodes)
+        for s, e in zip(starts, ends, strict=True):
+            for i in range(s, e):
+                for j in range(i + w, e + 1):
+                    assert any(s <= a <= i <= c < j <= b <= e and v[c] == v[i:j].min() for a, c, b in nodes)
 
 
 def test_very_long_and_monotonous_texts(spark):

@@ -47,6 +47,15 @@ class Stage:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: rows of a few numbers that may be broadcast: about 16 MB
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has few rows; larger ones are joined by an exchange."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def connected_components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of every node with an edge (a, b); component is the smallest node reachable.
 
