@@ -251,3 +251,57 @@ def test_every_two_documents_of_a_passage_are_linked(spark):
     assert {(5, 4)} <= linked(found) <= {(5, 4)} | want
     assert {(b, a) for a, b in [(20, 22), (20, 23), (20, 24), (22, 23), (22, 24), (23, 24)]} <= linked(found)
     assert any(f.doc_id == 30 and not f.exact and f.end - f.start >= 110 for f in found)
+
+
+def edited(r, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        at, kind = r.randrange(len(out)), r.choice(["replace", "insert", "delete"])
+        out[at : at + (kind != "insert")] = [] if kind == "delete" else near_words(r, 1)
+    return out
+
+
+def test_near_passages_and_hubs(spark):
+    """Near copies at three lengths, and pairs that share a passage around a phrase that many other texts have."""
+    r, rows, planted = random.Random(12), [], []
+    pad = lambda: near_words(r, r.randrange(20, 70))
+
+    def put(words):
+        rows.append((len(rows), pad() + words + pad()))
+        return len(rows) - 1
+
+    for n, edits in ((60, 1), (120, 2), (200, 4)):
+        for _ in range(40):
+            base = near_words(r, n)
+            while True:
+                other = edited(r, base, edits)
+                a, b = shingles(" ".join(base)), shingles(" ".join(other))
+                if len(a & b) >= 0.8 * len(a | b):
+                    break
+            planted.append(((n, edits), put(base), put(other)))
+    exact = []
+    for phrase_words in (20, 35, 44):
+        phrase = near_words(r, phrase_words)
+        for _ in range(30):
+            put(phrase)
+        for _ in range(10):
+            before, after = near_words(r, 30), near_words(r, 30)
+            planted.append((("hub", phrase_words), put(before + phrase + after), put(edited(r, before, 1) + phrase + after)))
+            side = near_words(r, 52 - phrase_words)
+            exact.append((put(phrase + side), put(phrase + side)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    links = linked(repeated_passages(spark, df).collect())
+    assert all((b, a) in links for a, b in exact)
+    caught = collections.defaultdict(list)
+    for kind, a, b in planted:
+        caught[kind].append((b, a) in links)
+    assert all(sum(x) >= 0.9 * len(x) for x in caught.values()), {k: sum(x) / len(x) for k, x in caught.items()}
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    r = random.Random(13)
+    base = near_words(r, 150)
+    rows = [(i, " ".join(near_words(r, 5 * i) + edited(r, base, i % 3) + ["the"] * (7 * (i % 11)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two, three = (sorted(map(tuple, repeated_passages(spark, df.repartition(n, F.xxhash64("doc_id", F.lit(n)))).collect())) for n in (1, 3, 11))
+    assert one and one == two == three
