@@ -8,8 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 from veilmark.llm import queries
-from veilmark.llm.decontaminate import WinnowParams, benchmark_hits
-from veilmark.llm.near_dedup import NearParams, near_duplicates
+from veilmark.llm.decontaminate import WinnowParams, benchmark_hits, drop_contaminated
+from veilmark.llm.near_dedup import NearParams, drop_near_duplicates, near_duplicates
 from veilmark.llm.passages import repeated_passages
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -84,6 +84,39 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates(spark, df.limit(0)).count() == 0
 
 
+def test_repeated_ids_keep_their_links(spark):
+    """Two unrelated texts under each id, and a near copy of each text: every row reaches the smallest id of its own text."""
+    r, rows, want = random.Random(3), [], {}
+    for i in range(40):
+        for t in range(2):
+            base = sentence(r, 100, 10**6)
+            near = list(base)
+            near[50] = "edit"
+            a, b = i, 1000 + 2 * i + t
+            rows += [(a, " ".join(base)), (b, " ".join(near))]
+            want[b] = a
+    got = {x.doc_id: x for x in near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {b: got[b].component_id for b in want} == want and not any(got[b].kept for b in want)
+
+
+def test_drop_near_duplicates_keeps_one_row_of_each_group(spark):
+    text, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "b"), (None, text, "c"), (None, other, "d"), (None, other, "d"), (1, other + " x", "e"), (7, None, "f"), (7, "", "g"), (7, "", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    out = drop_near_duplicates(spark, df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r["class"]) for r in out.collect()) == [("1", "a"), ("1", "e"), ("7", "f"), ("7", "g"), ("7", "g")]
+    assert drop_near_duplicates(spark, df.limit(0)).count() == 0
+
+
+def test_signature_is_a_minhash(spark):
+    """With few coordinates and every pair of a threshold's width apart, links still equal brute force."""
+    rows = family(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark, df, NearParams(coordinate_bits=5)).collect()}
+    assert got == components({i: shingles(t) for i, t in rows}, 80, 100)
+
+
 def test_query_on_documents(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = components({r.doc_id: shingles(r.text) for r in rows}, 85, 100)
@@ -162,6 +195,8 @@ def test_decontamination_in_one_block_and_many(spark):
         got = {x.doc_id: (x.n_words, x.n_hit, list(x["items"]), x.contaminated) for x in benchmark_hits(spark, d, b, WinnowParams(block_bytes=block)).collect()}
         assert got == want
     assert all(not x.contaminated for x in benchmark_hits(spark, d, b.limit(0)).collect())
+    rows = spark.createDataFrame([(None, items[0][1], 1), (None, "clean text", 2), (3, items[0][1], 3), (3, "clean", 4)], "doc_id long, text string, items int")
+    assert sorted(x["items"] for x in drop_contaminated(spark, rows, b).collect()) == [2, 4]
 
 
 def test_decontamination_query(spark, sf):

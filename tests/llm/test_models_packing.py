@@ -45,22 +45,41 @@ def test_toxicity_chain(spark):
     docs, labels = toxic_rows()
     docs += [(900, None), (901, ""), (902, "w1 vilest nastythree w3"), (None, "w1")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("flagged", F.lit("clash"))
-    lab = spark.createDataFrame([*labels, (None, 1, 1), (5, None, 0)], "doc_id long, toxic int, severe int")
-    model = toxicity.train(spark, d, lab, ["toxic", "severe"])
+    lab = spark.createDataFrame([*[(i, s, t) for i, t, s in labels], (None, 1, 1), (5, 0, None)], "doc_id long, severe int, toxic int")
+    model = toxicity.train(spark, d, lab, ["severe", "toxic"])
     got = {r.doc_id: r for r in toxicity.predict(spark, d, model).collect()}
     assert all(got[i].flagged == (i % 5 == 0) for i in range(400))
     assert got[902].flagged and not got[900].flagged and not got[901].flagged and 0 <= got[902].p_severe <= 1
     assert len(model.links) == 2 and len(model.links[1][3]) == 1
-    none = toxicity.train(spark, d, lab.limit(0), ["toxic", "severe"])
+    none = toxicity.train(spark, d, lab.limit(0), ["severe", "toxic"])
     assert toxicity.predict(spark, d, none).where("flagged").count() == 0
 
 
-def test_toxicity_precision_and_recall(spark):
-    sf = "/root/testdata/sf0.01"
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    flagged = {r.doc_id for r in queries.op10_toxicity(spark, sf).collect()}
-    hit = sum(labels.get(i) == 1 for i in flagged)
-    assert hit >= 0.6 * sum(labels.values()) and sum(labels.get(i) == 0 for i in flagged) <= 3
+def test_toxicity_held_out(spark):
+    """Recall and precision on labelled texts that the chain was not trained on (a twentieth of the toxic ones shows no toxic word)."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(spark, docs, labels.where(~held), ["low_quality", "toxic"])
+    got = {r.doc_id: r.flagged for r in toxicity.predict(spark, docs, model).collect()}
+    known = {r.doc_id: r.toxic for r in labels.where(held).collect()}
+    toxic = [got[i] for i, t in known.items() if t]
+    assert sum(toxic) >= 0.86 * len(toxic) and sum(got[i] for i, t in known.items() if not t) <= 0.005 * len(known)
+
+
+def test_last_link_uses_earlier_probabilities(spark):
+    """Toxic here is what an earlier category says of a text together with its words; the verdict changes without the chain."""
+    docs, labels = toxic_rows(600)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, bad, bad) for i, bad, _ in labels], "doc_id long, rude int, toxic int")
+    model = toxicity.train(spark, d, lab, ["rude", "toxic"])
+    assert model.links[1][3][0] > 0
+    used, weights, intercept, _ = model.links[1]
+    cut = toxicity.ToxicityModel(model.categories, [model.links[0], (used, weights, intercept, [0.0])], model.params)
+    one, two = ({r.doc_id: r.p_toxic for r in toxicity.predict(spark, d, m).collect()} for m in (model, cut))
+    assert any(abs(one[i] - two[i]) > 0.02 for i in one)
+    assert toxicity.predict(spark, d.limit(0), model).count() == 0
 
 
 def brute(histogram, buckets):

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import winnow_kernels
 from .staging import Stage, ship
@@ -44,14 +45,14 @@ def benchmark_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p
     blocks = -(-size // params.block_bytes) or 1
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     if blocks == 1:
-        scanned = _scan(spark, docs, items, params, "doc_id", docs.schema["doc_id"].dataType.simpleString())
+        scanned = _scan(spark, docs, items, params)
         return _verdict(scanned.select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"), "items"), params)
     stage = Stage(spark, "winnow")
     keyed = stage.table(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
     block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     parts = None
     for b in range(blocks):
-        part = _scan(spark, keyed.select("row", "text"), items.where(block == b), params, "row", "bigint")
+        part = _scan(spark, keyed.select("row", "text"), items.where(block == b), params)
         parts = part if parts is None else parts.union(part)
     merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # total length of the union of sorted intervals
@@ -61,10 +62,18 @@ def benchmark_hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p
     return _verdict(keyed.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", "n_hit", "items"), params)
 
 
-def _scan(spark: SparkSession, docs: DataFrame, items: DataFrame, p: WinnowParams, key: str, key_type: str) -> DataFrame:
+def _scan(spark: SparkSession, docs: DataFrame, items: DataFrame, p: WinnowParams) -> DataFrame:
+    """The first column of docs(key, text), n_words, spans and items."""
     rows = [(r.item, r.text) for r in items.collect()]  # at most about block_bytes
     index = spark.sparkContext.broadcast(winnow_kernels.build_index(rows, p))
-    return docs.mapInArrow(winnow_kernels.scanner(index, p), f"{key} {key_type}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    schema = StructType([docs.schema.fields[0], *StructType.fromDDL("n_words long, spans array<struct<start:long,end:long>>, items array<string>").fields])
+    return docs.mapInArrow(winnow_kernels.scanner(index, p), schema)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, params: WinnowParams = WinnowParams()) -> DataFrame:
+    """The rows of docs that are not contaminated, each judged by its own text, with docs' own columns."""
+    hits = benchmark_hits(spark, docs.select(F.struct("*").alias("doc_id"), "text"), benchmark, params)
+    return hits.where("not contaminated").select("doc_id.*")
 
 
 def _verdict(hits: DataFrame, p: WinnowParams) -> DataFrame:

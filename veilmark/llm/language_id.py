@@ -55,8 +55,7 @@ def train(spark: SparkSession, docs: DataFrame, params: LanguageParams = Languag
     for row in counted.collect():  # slots + 1 rows; the last is the number of texts
         df[row.slot] = row.n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = docs.withColumn("rank", F.row_number().over(pick)).where(F.col("rank") <= p.rows_per_language).select("text", "lang")
+    sample = docs.join(F.broadcast(_least_hashes(docs.select("lang", F.xxhash64("text").alias("h")), p.rows_per_language)), ["lang"]).where(F.xxhash64("text") <= F.col("most")).select("text", "lang").distinct()
     rows = sample.mapInArrow(language_kernels.gram_counts(p), "lang string, at binary, n binary").collect()
     names = sorted({r.lang for r in rows})
     rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))
@@ -74,6 +73,15 @@ def train(spark: SparkSession, docs: DataFrame, params: LanguageParams = Languag
     return LanguageModel(names, (p.scale * idf[:, None] * weights / linear.fit_temperature(logits, labels[part])).astype(np.float32), p)
 
 
+def _least_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """(lang, most): the n-th least different hash of each language, from rows(lang, h); ranked inside parts of each language first."""
+    rows = rows.distinct()
+    by_part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
+    least = rows.withColumn("rank", F.row_number().over(by_part)).where(F.col("rank") <= n).drop("rank")  # 64 n rows of a language at most
+    by_lang = Window.partitionBy("lang").orderBy("h")
+    return least.withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= n).groupBy("lang").agg(F.max("h").alias("most"))
+
+
 def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:
     """The columns kept, then lang_pred and score, of each row of docs(text)."""
     text = F.col("text").cast("string")

@@ -1,19 +1,23 @@
 """Near-duplicate documents by a signature-coordinate inverted join, confirmed on full shingle sets.
 
-Each text becomes the set of its k-word shingles and a MinHash signature.  Texts with equal sets are one
-class, represented by its smallest doc_id.  Representatives are posted under coordinate-value pairs of their
-signature, two coordinates to a posting key.  A pair with T of K coordinates equal has at least
-``K/2 - (K - T)`` equal keys, so a text with fewer keys in lists of two or more entries has no partner and
-leaves.  The others meet by prefix: shingles in one global order, rarest first, where only the first
-``n - ceil(s n) + 1`` of each set need posting and the long lists behind them are skipped, and only entries
-whose places in these prefixes leave room for the similarity meet.  Pairs of such a list count their signature collisions, those below T go, and the rest are confirmed on full sets.
+Each text becomes the set of its k-word shingles.  Texts with equal sets are one class.  A class's MinHash signature has
+``2 ** coordinate_bits`` coordinates: the first bits of a shingle's hash name its coordinate, and each coordinate keeps its
+least hash (one permutation), so a text has as many values as coordinates hold a shingle of it.  Two signatures collide where they have
+a value in common; the share of collisions among the coordinates that either fills estimates the similarity, exactly so where no coordinate
+holds two shingles.  A pair counts as a match above a share of the similarity less ``slack_sd`` standard deviations of that
+estimate: a link is missed with odds under 1e-7.
+
+Classes are posted under their coordinate values in one global order, rarest first.  Of n values only the first
+``n - ceil(share n) + 1`` need posting, and the long lists behind them are skipped.  Entries of a list meet if their places leave
+room for enough collisions; the collisions of those that meet are counted by merging what is left of both signatures, and what passes is
+confirmed on the full sets.
 
 Large groups don't make all pairs: every entry of a list is first held against two leaders of that list, the
 groups so linked are joined, and only entries of *different* groups of a list then meet as pairs.
 
-Defined results: a null or blank text has an empty set, is its own component and is kept; a null doc_id gives a
-null component and is kept; rows that share a doc_id share a component if they share a set; rows of equal
-text are copies, of which the smallest doc_id stays; an empty table gives no rows; other columns are ignored.
+Defined results: a null or blank text has an empty set, is its own component and is kept; a row's component is the smallest
+doc_id that its text reaches, so rows that share a doc_id but no set can differ; a null doc_id gives a null component and
+is kept (drop_near_duplicates groups such rows by their text); rows of equal text are copies; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import near_kernels
-from .staging import Stage, connected_components, ship
+from .staging import Stage, connected_components, if_small, ship
 
 ship(near_kernels, __name__)
 
@@ -37,92 +42,96 @@ class NearParams:
     #: similarity as num / den, compared in whole numbers
     num: int = 80
     den: int = 100
-    #: signature coordinates (even); at 64 a pair at the similarity falls below ``matches`` with odds under 1e-7
-    coordinates: int = 64
-    seed: int = 7
-    #: counters by which shingles are put in order; any size gives the same links
-    order_slots: int = 1 << 20
+    #: the signature has 2 ** coordinate_bits coordinates
+    coordinate_bits: int = 12
     slack_sd: float = 5.6
+    #: counters by which values are put in order; any size gives the same links
+    order_slots: int = 1 << 20
 
-    @property
-    def matches(self) -> int:
+    def match_share(self, shingles: int, values: int) -> float:
+        """Least share of collisions of a set of so many shingles with so many signature values, for partners up to den / num times as large."""
         s = self.num / self.den
-        return max(self.coordinates // 2 + 1, math.floor(self.coordinates * s - self.slack_sd * math.sqrt(self.coordinates * s * (1 - s))))
+        unseen = max(0.0, 1 - values / (shingles / s)) if values < shingles else 0.0
+        return max(0.5 * s, s - self.slack_sd * math.sqrt(s * (1 - s) * unseen / values)) if unseen else s
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs(doc_id, text)."""
     stage = Stage(spark, "near")
-    p = params
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage.table(docs.mapInArrow(near_kernels.signer(p), "doc_id long, n_shingles long, h1 long, h2 long, signature binary"), "signed")
-    keyed = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stage.table(keyed.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "classes")
-
-    family = _family(stage, classes, p)
-    texts = docs.join(_maybe_broadcast(family), docs.doc_id == family.rep, "left_semi").join(_maybe_broadcast(family), F.col("doc_id") == F.col("rep")).select("rep", "signature", "text")
-    texts = stage.table(texts.dropDuplicates(["rep"]), "texts")
-
-    slots = _slot_order(texts, p)
-    order = spark.sparkContext.broadcast(slots)
-    posted = stage.table(texts.select("rep", "text").mapInArrow(near_kernels.poster(p, order), "token long, rep long, n int, at int"), "posted")
-
-    # the entry with the fewest rarer shingles is the likeliest centre of its group
-    ends = posted.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min(F.struct("rep", "n", "at")).alias("x"), F.min(F.struct("at", "rep", "n")).alias("y")).where("low < high")
-    ends = stage.table(ends.select("token", "x", "y"), "leaders")
-    led = posted.join(ends, "token").select("rep", "n", "at", F.explode(F.array(F.struct("x.rep", "x.n", "x.at"), F.struct("y.rep", "y.n", "y.at"))).alias("o"))
-    led = led.where("rep <> o.rep").where(_reachable(F.col("n"), F.col("at"), F.col("o.n"), F.col("o.at"), p)).select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+    signed, named = _components(stage, docs, params)
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("class") != 0, F.col("smallest")).otherwise(F.col("doc_id")))
+    out = signed.join(if_small(named), "class", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
+    """One row of docs for each component: that of the smallest doc_id (nulls last, then by the row's hash), and all rows with empty sets."""
+    stage = Stage(spark, "near")
+    columns = docs.columns
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed, named = _components(stage, rows.select("doc_id", "text"), params)
+    schema = StructType([*rows.schema.fields, StructField("class", LongType()), StructField("n_shingles", LongType())])
+    every = rows.mapInArrow(near_kernels.signer(params), schema)
+    grouped = every.where("class <> 0").join(if_small(named.select("class", "component")), "class").withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("row").alias("hash")))
+    first = stage.table(grouped.groupBy("component").agg(F.min("at").alias("best")), "first")
+    # rows that are equal in all are one
+    chosen = grouped.join(if_small(first), "component").where(F.col("at").eqNullSafe(F.col("best"))).dropDuplicates(["component"])
+    kept = chosen.select("row").union(every.where("class = 0").select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in columns])
+
+
+def _components(stage: Stage, docs: DataFrame, p: NearParams) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class) of each row, and (class, component, smallest doc_id) of each class but the empty one."""
+    schema = StructType([*docs.schema.fields, StructField("class", LongType()), StructField("n_shingles", LongType())])
+    signed = stage.table(docs.mapInArrow(near_kernels.signer(p), schema).drop("text"), "signed")
+
+    order = stage.spark.sparkContext.broadcast(_slot_order(docs, p))
+    by_value = Window.partitionBy("value")
+    posted = docs.select("text").mapInArrow(near_kernels.poster(p, order), near_kernels.POSTING)
+    posted = posted.withColumns({"low": F.min("class").over(by_value), "high": F.max("class").over(by_value)}).where("low < high").drop("low", "high")
+    posted = stage.table(posted.distinct(), "posted")
+    involved = stage.table(posted.select("class").distinct(), "involved")
+    texts = docs.select("text").mapInArrow(near_kernels.class_texts(p), "class long, text string").join(if_small(involved), "class", "left_semi")
+    texts = stage.table(texts.dropDuplicates(["class"]), "texts")
+
+    # the entry with the fewest rarer values is the likeliest centre of its group
+    entry = ("class", "n", "at", "share")
+    ends = posted.groupBy("value").agg(F.min(F.struct(*entry)).alias("x"), F.min(F.struct("at", "class", "n", "share")).alias("y"))
+    ends = stage.table(ends, "leaders")
+    leaders = F.explode(F.array(F.col("x"), F.struct(*[F.col(f"y.{c}").alias(c) for c in entry]))).alias("o")
+    led = posted.join(ends, "value").select(*entry, leaders).where(F.col("class") != F.col("o.class")).where(_reachable(*entry[1:], *[f"o.{c}" for c in entry[1:]]))
+    led = led.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct()
     star = stage.table(_confirmed(led, texts, p), "star")
     groups = connected_components(stage, star, "cc1")
 
-    grouped = posted.join(groups, posted.rep == groups.node, "left").select("token", "rep", "n", "at", F.coalesce("component", "rep").alias("grp"))
-    mixed = grouped.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("token")
-    open_lists = stage.table(grouped.join(mixed, "token", "left_semi"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & _reachable(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), p)
-    across = x.join(y, meet)
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    grouped = posted.join(groups, posted["class"] == groups.node, "left").select("value", *entry, F.coalesce("component", "class").alias("grp"))
+    mixed = grouped.withColumns({"low": F.min("grp").over(by_value), "high": F.max("grp").over(by_value)}).where("low < high").drop("low", "high")
+    mixed = stage.table(mixed, "mixed")
+    x, y = mixed.alias("x"), mixed.alias("y")
+    meet = (F.col("x.value") == F.col("y.value")) & (F.col("x.grp") < F.col("y.grp")) & _reachable(*[f"{t}.{c}" for t in "xy" for c in entry[1:]])
+    across = x.join(y, meet).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
     links = stage.table(star.union(_confirmed(across, texts, p)), "links")
     groups = connected_components(stage, links, "cc2")
 
-    named = classes.join(groups, classes.rep == groups.node, "left").select("h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))
-    named = stage.table(named, "named")
-    same = (signed.h1 == named.h1) & (signed.h2 == named.h2) & (signed.n_shingles == named.n)
-    out = signed.join(named, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _reachable(n: Column, at: Column, m: Column, bt: Column, p: NearParams) -> Column:
-    """Whether sets of n and m shingles whose first common one is at places at and bt can be similar enough:
-    no rarer shingle is common, so at most the rest of either set is."""
-    return F.least(n - at, m - bt) * (p.num + p.den) >= (n + m) * p.num
-
-
-#: rows of (long, 256-byte signature) that may be broadcast: about 100 MB
-BROADCAST_ROWS = 250_000
-
-
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    classes = signed.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    named = classes.join(groups, classes["class"] == groups.node, "left").select("class", "doc_id", F.coalesce("component", "class").alias("component"))
+    linked = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    return signed, stage.table(named.join(linked, "component").select("class", "component", "smallest"), "named")
 
 
-def _family(stage: Stage, classes: DataFrame, p: NearParams) -> DataFrame:
-    """Representatives with enough signature keys that another representative also has."""
-    pairs = p.coordinates // 2
-    need = pairs - (p.coordinates - p.matches)
-    key = lambda j: F.xxhash64(F.lit(j), F.substring("signature", 8 * j + 1, 8))
-    posted = classes.select("rep", F.explode(F.array(*[key(j) for j in range(pairs)])).alias("key"))
-    shared = posted.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
-    shared = stage.table(shared, "shared")
-    chosen = posted.join(shared, "key").groupBy("rep").count().where(F.col("count") >= max(1, need)).select("rep")
-    return stage.table(classes.join(chosen, "rep").groupBy("rep").agg(F.min("signature").alias("signature")), "family")
+def _reachable(n: str, at: str, share: str, m: str, bt: str, other: str) -> Column:
+    """Whether signatures of n and m values whose first common one is at places at and bt can collide often enough:
+    no rarer value is common, so at most the rest of either is."""
+    least = F.least(share, other).cast("double") - 1e-6
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(bt)) * (1 + least) >= (F.col(n) + F.col(m)) * least
 
 
-def _slot_order(texts: DataFrame, p: NearParams) -> bytes:
-    """One byte for each counter slot: the rounded logarithm of how many sets have a shingle there."""
+def _slot_order(docs: DataFrame, p: NearParams) -> bytes:
+    """One byte for each counter slot: the rounded logarithm of how many signatures have a value there."""
     block = 4096
     n = p.order_slots // block
-    counted = texts.select("text").mapInArrow(near_kernels.slot_counter(p, block), "block int, counts binary")
+    counted = docs.select("text").mapInArrow(near_kernels.slot_counter(p, block), "block int, counts binary")
     summed = counted.repartition(min(n, 64), "block").mapInArrow(near_kernels.slot_summer(block), "block int, counts binary")
     levels = np.zeros(p.order_slots, dtype=np.uint8)
     for row in summed.collect():  # order_slots * 8 bytes, whatever the input
@@ -133,7 +142,5 @@ def _slot_order(texts: DataFrame, p: NearParams) -> bytes:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearParams) -> DataFrame:
     """The pairs (a, b) whose signatures collide often enough and whose full sets are similar enough."""
-    side = lambda c: texts.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}"), F.col("text").alias(f"t{c}"))
-    small = lambda c: texts.select(F.col("rep").alias(c), F.col("signature").alias(f"s{c}"))
-    close = pairs.join(small("a"), "a").join(small("b"), "b").mapInArrow(near_kernels.collider(p), "a long, b long")
-    return close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(near_kernels.confirmer(p), "a long, b long")
+    side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"t{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(near_kernels.confirmer(p), "a long, b long")

@@ -8,10 +8,6 @@ import pyarrow as pa
 from . import textscan as ts
 
 
-def _factors(p):
-    return (np.random.default_rng(p.seed).integers(0, 2**63, p.coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-
-
 def _sets(batch, p, column="text"):
     """(row, sorted distinct shingle hashes) of every row."""
     for first, last, data, offsets in ts.pieces(batch, column):
@@ -21,27 +17,50 @@ def _sets(batch, p, column="text"):
             yield first + row, found
 
 
+def signature(found, p):
+    """The values of a set's signature: the first bits of a hash name its coordinate, which keeps its least hash."""
+    at = found >> np.uint64(64 - p.coordinate_bits)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = at[1:] != at[:-1]
+    return found[new]
+
+
+def _class_of(found):
+    """A 64-bit name of a set; 0 of the empty one."""
+    if not len(found):
+        return 0
+    name = ts.mix(found.sum(dtype=np.uint64, keepdims=True) ^ ts.mix(ts.mix(found).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(found))))
+    return int(name.view(np.int64)[0]) or 1
+
+
 def signer(p):
+    """The columns of docs, then class and n_shingles of the text."""
+
     def run(batches):
-        factors = _factors(p)
         for batch in batches:
-            n = batch.num_rows
-            sizes, h1, h2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            signatures = np.zeros((n, p.coordinates), dtype=np.uint32)
+            sizes, names = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, found in _sets(batch, p):
-                sizes[row] = len(found)
-                if len(found):
-                    h1[row] = found.sum(dtype=np.uint64)
-                    h2[row] = ts.mix(found).sum(dtype=np.uint64)
-                    low = None
-                    for a in range(0, len(found), 4096):  # bounded memory for very long texts
-                        part = ((found[None, a : a + 4096] * factors) >> np.uint64(32)).min(axis=1)
-                        low = part if low is None else np.minimum(low, part)
-                    signatures[row] = low
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([x.tobytes() for x in signatures], pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "signature"],
-            )
+                sizes[row], names[row] = len(found), _class_of(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names), pa.array(sizes)], names=[*batch.schema.names, "class", "n_shingles"])
+
+    return run
+
+
+def class_texts(p):
+    """(class, text) of each class once a task."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            names, keep = [], []
+            for row, found in _sets(batch, p):
+                name = _class_of(found)
+                if name and name not in seen:
+                    seen.add(name)
+                    names.append(name)
+                    keep.append(row)
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(batch.schema.get_field_index("text")).take(pa.array(keep))], names=["class", "text"])
 
     return run
 
@@ -53,7 +72,7 @@ def slot_counter(p, block):
         for batch in batches:
             for _, found in _sets(batch, p):
                 any_row = True
-                np.add.at(counts, (found % np.uint64(p.order_slots)).astype(np.int64), np.uint64(1))
+                np.add.at(counts, (signature(found, p) % np.uint64(p.order_slots)).astype(np.int64), np.uint64(1))
         if any_row:
             for b in range(p.order_slots // block):
                 part = counts[b * block : (b + 1) * block]
@@ -75,47 +94,51 @@ def slot_summer(block):
     return run
 
 
-def poster(p, order):
-    def run(batches):
-        levels = np.frombuffer(order.value, dtype=np.uint8)
-        for batch in batches:
-            reps = batch.column(0).to_numpy()
-            tokens, owners, sizes, places = [], [], [], []
-            for row, found in _sets(batch, p):
-                n = len(found)
-                keep = n - (n * p.num + p.den - 1) // p.den + 1
-                rank = levels[(found % np.uint64(p.order_slots)).astype(np.int64)]
-                first = found[np.argsort(rank, kind="stable")[:keep]]  # equal ranks stay in hash order
-                tokens.append(first)
-                owners.append(np.full(len(first), reps[row]))
-                sizes.append(np.full(len(first), n, dtype=np.int32))
-                places.append(np.arange(len(first), dtype=np.int32))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in tokens], owners, sizes, places)], names=["token", "rep", "n", "at"])
+POSTING = "value long, class long, n int, at int, share float"
 
-    return run
 
+def poster(p, order):
+    """POSTING: the prefix of each class's signature, rarest values first, once a task."""
 
-def collider(p):
     def run(batches):
+        levels, seen = np.frombuffer(order.value, dtype=np.uint8), set()
         for batch in batches:
-            if batch.num_rows:
-                at = lambda c: np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), dtype=np.uint32).reshape(-1, p.coordinates)  # noqa: B023, E731
-                good = pa.array((at("sa") == at("sb")).sum(axis=1) >= p.matches)
-                yield batch.select(["a", "b"]).filter(good)
+            parts = []
+            for _, found in _sets(batch, p):
+                name = _class_of(found)
+                if not name or name in seen:
+                    continue
+                seen.add(name)
+                values = signature(found, p)
+                n, share = len(values), p.match_share(len(found), len(values))
+                keep = n - int(np.ceil(share * n - 1e-9)) + 1
+                rank = levels[(values % np.uint64(p.order_slots)).astype(np.int64)]
+                first = values[np.argsort(rank, kind="stable")[:keep]]  # equal ranks stay in hash order
+                k = len(first)
+                parts.append((first.view(np.int64), np.full(k, name), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), np.full(k, share, np.float32)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["value", "class", "n", "at", "share"])
 
     return run
 
 
 def confirmer(p):
+    """The pairs (a, b) whose signatures collide often enough and whose full sets are similar enough."""
+
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                left = [found for _, found in _sets(part, p, "ta")]
-                right = [found for _, found in _sets(part, p, "tb")]
-                both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)]
-                good = [p.den * i >= p.num * (len(x) + len(y) - i) and i > 0 for i, x, y in zip(both, left, right, strict=True)]
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                good = []
+                for (_, x), (_, y) in zip(_sets(part, p, "ta"), _sets(part, p, "tb"), strict=True):
+                    u, v = signature(x, p), signature(y, p)
+                    hits = len(np.intersect1d(u, v, assume_unique=True))
+                    share = min(p.match_share(len(x), len(u)), p.match_share(len(y), len(v)))
+                    ok = hits >= share * (len(u) + len(v) - hits) - 1e-9
+                    if ok:
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        ok = both > 0 and p.den * both >= p.num * (len(x) + len(y) - both)
+                    good.append(ok)
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run

@@ -67,9 +67,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    # the labels know toxic and low quality: the chain's second category is toxic text that is also junk
-    labels = labels.select("doc_id", "toxic", (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_junk"))
-    model = toxicity.train(spark, docs, labels, ["toxic", "toxic_junk"])
+    # the labels know low quality and toxic: the first model's probability is a feature of the second
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    model = toxicity.train(spark, docs, labels, ["low_quality", "toxic"])
     return toxicity.predict(spark, docs, model).where("flagged")
 
 

@@ -1,8 +1,8 @@
 """Secret scan: fixed credential patterns plus sliding-window Shannon entropy.
 
 Candidate strings are long runs of one token alphabet with a digit and a letter.  A window slides over each;
-its character counts, and with them the sum of c log2 c, are updated for the character that enters and the one
-that leaves, so each step is of constant cost in the window.  A candidate whose best window reaches the
+the sum of c log2 c over its character counts is updated by the counts of the character that enters and of the one
+that leaves, so a step costs one look at the window, whatever the candidate's length.  A candidate whose best window reaches the
 threshold of its character class (hexadecimal or base64) is a secret unless an allow-list pattern fits it or a
 fixed pattern already covers part of it.
 
@@ -29,7 +29,6 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 _TOKEN = "A-Za-z0-9+/_=-"
 CANDIDATE = rf"(?<![{_TOKEN}])(?=[A-Za-z+/_=-]*+[0-9])[{_TOKEN}]{{20,}}+"
-_ALPHABETS = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
 
 
 @dataclass(frozen=True)
@@ -45,26 +44,27 @@ class SecretParams:
     )
 
 
-def window_entropy(text: Column, alphabet: str, window: int) -> Column:
-    """Largest Shannon entropy (bits a character) of any window of the text, by incremental counts."""
+def window_entropy(text: Column, window: int) -> Column:
+    """Largest Shannon entropy (bits a character) of any window of the text, by incremental counts; -1 for shorter texts."""
     # f[c] = c log2 c; the entropy of a window of n characters is log2 n - sum f[c] / n
     f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    codes = F.transform(F.split(text, ""), lambda ch: F.instr(F.lit(alphabet), ch))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1.0).alias("best"))
+    count = lambda part, ch: F.length(part) - F.length(F.replace(part, ch))
+
+    def change(at: Column) -> Column:
+        """What the character at this place adds to the sum and the one that leaves takes away, by their counts in the window."""
+        before = F.substring(text, F.greatest(F.lit(1), at - window), F.least(F.lit(window), at - 1))
+        came, gone = F.substring(text, at, 1), F.substring(text, at - window, 1)
+        had = count(before, came)
+        left = count(before, gone) + (came == gone).cast("int")
+        return F.get(f, had + 1) - F.get(f, had) + F.when(at > window, F.get(f, left - 1) - F.get(f, left)).otherwise(0.0)
 
     def step(acc: Column, x: Column) -> Column:
-        came, gone = x["came"], x["gone"]
-        plus = F.get(acc["n"], came)
-        s1 = acc["s"] + F.get(f, plus + 1) - F.get(f, plus)
-        minus = F.get(acc["n"], gone) + F.when(gone == came, 1).otherwise(0)
-        s2 = F.when(gone >= 0, s1 + F.get(f, minus - 1) - F.get(f, minus)).otherwise(s1)
-        n = F.transform(acc["n"], lambda c, i: c + F.when(i == came, 1).otherwise(0) - F.when(i == gone, 1).otherwise(0))
-        full = acc["i"] + 1 >= window
-        bits = F.lit(math.log2(window)) - s2 / window
-        return F.struct(n.alias("n"), s2.alias("s"), (acc["i"] + 1).alias("i"), F.when(full, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
+        s = acc["s"] + x
+        bits = F.when(acc["i"] + 1 >= window, F.lit(math.log2(window)) - s / window).otherwise(-1.0)
+        return F.struct(s.alias("s"), (acc["i"] + 1).alias("i"), F.greatest(acc["best"], bits).alias("best"))
 
-    came_gone = F.zip_with(codes, F.concat(F.array_repeat(F.lit(-1), window), codes), lambda a, b: F.struct(a.alias("came"), b.alias("gone")))
-    return F.aggregate(F.filter(came_gone, lambda x: x["came"].isNotNull()), zero, step, lambda acc: acc["best"])
+    changes = F.transform(F.sequence(F.lit(1), F.length(text)), change)
+    return F.when(F.length(text) >= window, F.aggregate(changes, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1.0).alias("best")), step, lambda acc: acc["best"])).otherwise(-1.0)
 
 
 def find_secrets(docs: DataFrame, params: SecretParams = SecretParams()) -> DataFrame:
@@ -81,8 +81,8 @@ def find_secrets(docs: DataFrame, params: SecretParams = SecretParams()) -> Data
         for pattern in p.allow:
             allowed = allowed | hit.rlike(pattern)
         base = spans.overlaps(s, F.col("secret_assign")) | spans.overlaps(s, F.col("secret_access")) | spans.overlaps(s, F.col("secret_hex"))
-        hexed = window_entropy(F.lower(hit), _ALPHABETS["hex"], p.window) >= p.hex_bits
-        wide = window_entropy(hit, _ALPHABETS["base64"], p.window) >= p.base64_bits
+        hexed = window_entropy(F.lower(hit), p.window) >= p.hex_bits
+        wide = window_entropy(hit, p.window) >= p.base64_bits
         return F.when(allowed | base | ~hit.rlike("[A-Za-z]"), F.lit(False)).otherwise(F.when(hit.rlike("^[0-9a-fA-F]+$"), hexed).otherwise(wide))
 
     return docs.withColumn("secret_entropy", F.filter("secret_entropy", random))

@@ -25,8 +25,10 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary folder."""
+    """spark.checkpoint.dir; where it is unset the warehouse, or on one machine (as in tests) a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/veilmark-stages"
     return folder or _FALLBACK.setdefault("folder", tempfile.mkdtemp(prefix="veilmark-"))
 
 

@@ -4,14 +4,16 @@ Categories are predicted in order.  The model of each is a sparse linear one ove
 word beginnings of a text, to which the probabilities of the categories before it are added as features.  For training these come
 from models that have not seen the row (out-of-fold), so later models learn how far to trust them.
 
-Weights are fitted on a bounded sample of labelled texts, at most ``rows_flagged`` with the first category and
-``rows_other`` without, picked by hash; the first category's probability is corrected to its share among all
-labelled rows.  Prediction covers every text whole.
+The last category decides: its model sees the probabilities of all the others.
+
+Weights are fitted on a bounded sample of labelled texts, at most ``rows_flagged`` with the last category and
+``rows_other`` without, picked by hash; its probability is corrected to its share among all labelled
+rows.  Each model trains on the rows that have its own label.  Prediction covers every text whole.
 
 Defined results: a null or wordless text gets the probabilities of the bare intercept and is not flagged;
-rows with a null doc_id or label never train; conflicting or repeated labels of a doc_id count as flagged if
-any is; equal texts train once; without labels of both kinds nothing is flagged; repeated rows each give a row;
-other columns are ignored.
+rows with a null doc_id never train, and those with a null label not that category's model; conflicting or repeated labels of
+a doc_id count as flagged if any is; equal texts train once; a category without labels of both kinds has
+probability 0, and without the last one nothing is flagged; repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linear, toxicity_kernels
@@ -39,7 +41,7 @@ class ToxicityParams:
     folds: int = 3
     epochs: int = 2
     alpha: float = 0.5
-    l1: float = 6.0
+    l1: float = 3.0
     l2: float = 0.05
     seed: int = 5
     threshold: float = 0.5
@@ -56,40 +58,42 @@ class ToxicityModel:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: list[str], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Fit a chain on docs(doc_id, text) and labels(doc_id, one 0/1 column for each category)."""
     p = params
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna(subset=["doc_id"])
     labels = labels.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
-    first = categories[0]
-    totals = {r[first]: r["count"] for r in labels.groupBy(first).count().collect()}
-    pick = Window.partitionBy(first).orderBy(F.xxhash64("doc_id"), "doc_id")
-    bound = F.when(F.col(first) == 1, p.rows_flagged).otherwise(p.rows_other)
-    sample = labels.withColumn("rank", F.row_number().over(pick)).where((F.col("rank") <= max(p.rows_flagged, p.rows_other)) & (F.col("rank") <= bound)).drop("rank")
+    last = categories[-1]
+    totals = {r[last]: r["count"] for r in labels.groupBy(last).count().collect() if r[last] is not None}
+    marked = labels.where(F.col(last) == 1)
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    sample = marked.orderBy(*order).limit(p.rows_flagged).union(labels.where(F.coalesce(F.col(last) != 1, F.lit(True))).orderBy(*order).limit(p.rows_other))
     # the sample's size is bounded by the parameters
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     rows = rows.mapInArrow(toxicity_kernels.word_slots(p, categories), ", ".join(f"`{c}` int" for c in categories) + ", at binary").collect()
     unique = {bytes(r.at): r for r in rows if len(r.at)}
     rows = [unique[k] for k in sorted(unique)]
     at = [np.frombuffer(r.at, np.int32) for r in rows]
-    known = np.array([[int(r[c] == 1) for c in categories] for r in rows], dtype=int).reshape(len(rows), len(categories))
+    known = np.array([[-1 if r[c] is None else int(r[c] == 1) for c in categories] for r in rows], dtype=int).reshape(len(rows), len(categories))
     fold = np.random.default_rng(p.seed).permutation(len(rows)) % p.folds
     links: list[tuple[np.ndarray, np.ndarray, float, list[float]]] = []
     earlier = np.zeros((len(rows), 0))
     for k in range(len(categories)):
         y = known[:, k]
-        if len(set(y.tolist())) < 2:
+        own = np.flatnonzero(y >= 0)
+        if len(set(y[own].tolist())) < 2:
             links.append((np.zeros(0, np.int32), np.zeros(0), -20.0, [0.0] * k))
             earlier = np.column_stack([earlier, np.zeros(len(rows))])
             continue
         data = [_row(x, earlier[i], p) for i, x in enumerate(at)]
         held = np.zeros(len(rows))
         for f in range(p.folds):
-            rest = np.flatnonzero(fold != f)
+            rest = own[fold[own] != f]
             w = _fit([data[i] for i in rest], y[rest], k, p)
             for i in np.flatnonzero(fold == f):
                 held[i] = 1 / (1 + math.exp(-np.clip(data[i][1] @ w[data[i][0]], -30, 30)))
-        w = _fit(data, y, k, p)
+        w = _fit([data[i] for i in own], y[own], k, p)
         shift = 0.0
-        if k == 0 and 0 < y.sum() < len(y):
-            shift = math.log(y.sum() / (len(y) - y.sum())) - math.log(totals[1] / (sum(totals.values()) - totals[1]))
+        if k == len(categories) - 1:
+            bad = int(y[own].sum())
+            shift = math.log(bad / (len(own) - bad)) - math.log(totals[1] / (sum(totals.values()) - totals[1]))
         used = np.flatnonzero(w[: p.slots]).astype(np.int32)
         links.append((used, w[used], float(w[p.slots]) - shift, [float(x) for x in w[p.slots + 1 :]]))
         earlier = np.column_stack([earlier, held])
@@ -107,7 +111,7 @@ def _fit(data: list, y: np.ndarray, earlier: int, p: ToxicityParams) -> np.ndarr
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, flagged and p_<category> of each row of docs(doc_id, text); flagged goes by the first category."""
+    """doc_id, flagged and p_<category> of each row of docs(doc_id, text); flagged goes by the last category."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     links = spark.sparkContext.broadcast(model.links)  # at most slots weights for each category
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -56,7 +56,7 @@ def predictor(links, p, categories):
                     for e, w in enumerate(earlier):
                         logit = logit + w * shares[first:last, e]
                     shares[first:last, k] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            flagged = has_words & (shares[:, 0] >= p.threshold)
+            flagged = has_words & (shares[:, -1] >= p.threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flagged), *[pa.array(shares[:, k]) for k in range(len(tables))]], names=["doc_id", "flagged", *[f"p_{c}" for c in categories]])
 
     return run

@@ -1,9 +1,11 @@
 """URL filter: association rules over URL tokens.
 
-Listed rules (host suffix and path prefix) decide the URLs they fit, and so label them: a URL is blocked or not.
-FP-growth over the labelled URLs' tokens mines which token combinations go with being blocked; rules are pruned by
-support, confidence and by simpler rules at least as sure.  Other URLs are matched through an inverted index, token to rules: a rule fires when
-all its tokens are hit, and the surest firing rule decides.
+Listed rules (host suffix and path prefix) decide the URLs they fit, and so label them: blocked or allowed.
+FP-growth over the URLs' tokens mines which token combinations go with being blocked.  A rule's confidence is the share of blocked ones
+among the *labelled* URLs that have its tokens; its reach the share of listed blocked ones among *all* that have them, so a
+combination that is mostly unlisted says nothing.  Rules are pruned by support, confidence, reach and by simpler
+rules at least as sure.  Other URLs are matched through an inverted index, token to rules: a rule fires when all its
+tokens are hit, and the surest firing rule decides.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and the default verdict
 unless a mined rule fires; repeated rows each give a row; without blocked URLs no rules are mined; an empty table
@@ -34,6 +36,10 @@ class UrlParams:
     #: share of URLs that a token combination must be in
     support: float = 0.01
     confidence: float = 0.9
+    #: share of the URLs with a combination, labelled or not, that must be listed as blocked
+    reach: float = 0.5
+    #: listed blocked URLs that a rule must have
+    least_rows: int = 10
     #: tokens in a rule
     longest: int = 3
     default: str = "allow"
@@ -70,17 +76,29 @@ def listed_rule(host: Column, path: Column) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def mine(labelled: DataFrame, params: UrlParams = UrlParams()) -> list[tuple[frozenset[str], str, float, float]]:
-    """(tokens, verdict, confidence, support) of the rules kept, surest first, from labelled(tokens, verdict)."""
+def mine(rows: DataFrame, params: UrlParams = UrlParams()) -> list[tuple[frozenset[str], str, float, float]]:
+    """(tokens, verdict, confidence, support) of the rules kept, surest first, from rows(tokens, verdict); the verdict is null where unknown."""
     p = params
-    baskets = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("label="), F.col("verdict")))).alias("items"))
+    label = lambda verdict: F.concat(F.lit("label="), verdict)
+    baskets = rows.select(F.array_compact(F.array_append("tokens", label(F.col("verdict")))).alias("items"))
     if baskets.isEmpty():
         return []
-    model = FPGrowth(itemsCol="items", minSupport=p.support, minConfidence=p.confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=p.support, minConfidence=p.reach).fit(baskets)
     sure = model.associationRules.where((F.col("consequent")[0] == "label=block") & (F.size("antecedent") <= p.longest))
-    sure = sure.where(~F.exists("antecedent", lambda t: t.startswith("label=")))
+    sure = sure.where(~F.exists("antecedent", lambda t: t.startswith("label="))).select(F.array_sort("antecedent").alias("antecedent"), "consequent", F.col("confidence").alias("reach"), "support")
+    # how often the same tokens go with allow: counted over the labelled rows, as rare combinations are no frequent item sets
+    total = rows.count()
+    sure = sure.where(F.col("support") * total >= p.least_rows)
+    needs = [r.antecedent for r in sure.select("antecedent").collect()]
+    if not needs:
+        return []
+    every = F.array(*[F.array(*[F.lit(t) for t in need]) for need in needs])
+    fits = F.filter(F.sequence(F.lit(0), F.lit(len(needs) - 1)), lambda i: F.size(F.array_except(F.get(every, i), F.col("tokens"))) == 0)
+    allowed = {r.i: r["count"] for r in rows.where("verdict = 'allow'").select(F.explode(fits).alias("i")).groupBy("i").count().collect()}
+    known = {tuple(need): allowed.get(i, 0) for i, need in enumerate(needs)}
+    share = lambda r: r.support * total / (r.support * total + known[tuple(r.antecedent)])
     # the number of itemsets is bounded by the least support, whatever the number of URLs
-    found = sorted(((frozenset(r.antecedent), r.consequent[0][len("label="):], r.confidence, r.support) for r in sure.collect()), key=lambda r: (-round(r[2], 9), -round(r[3], 9), len(r[0]), sorted(r[0])))
+    found = sorted(((frozenset(r.antecedent), r.consequent[0][len("label="):], share(r), r.support) for r in sure.collect() if share(r) >= p.confidence), key=lambda r: (-round(r[2], 9), -round(r[3], 9), len(r[0]), sorted(r[0])))
     kept: list[tuple[frozenset[str], str, float, float]] = []
     for rule in sorted(found, key=lambda r: len(r[0])):
         if not any(k[0] <= rule[0] and k[2] >= rule[2] - 1e-9 for k in kept):
@@ -111,7 +129,7 @@ def judge_urls(pages: DataFrame, params: UrlParams = UrlParams()) -> DataFrame:
     rule, verdict = listed_rule(F.col("host"), F.col("path"))
     rows = rows.withColumn("rule", rule).withColumn("listed", verdict)
     rows = rows.withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
-    rules = mine(rows.where("host <> ''").select("tokens", F.coalesce("listed", F.lit(params.default)).alias("verdict")), params)
+    rules = mine(rows.where("host <> ''").select("tokens", F.col("listed").alias("verdict")), params)
     rows = rows.withColumn("hit", F.when(F.col("listed").isNull(), fired(rules, F.col("tokens"))))
     names = F.array(*[F.lit(" & ".join(sorted(r[0]))) for r in rules]).cast("array<string>")
     verdicts = F.array(*[F.lit(r[1]) for r in rules]).cast("array<string>")
