@@ -60,11 +60,14 @@ def bucket_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
 
 
 def pack(spark: SparkSession, docs: DataFrame, params: PackingParams = PackingParams()) -> DataFrame:
-    """doc_id, piece, n_tokens, bucket, batch, slot; (bucket, batch) names a batch, slot a place in it."""
+    """doc_id, text_hash, piece, first_word, n_tokens, bucket, batch, slot: (bucket, batch) names a batch, slot a place in it.
+
+    The piece is the text's n_tokens words from first_word on; text_hash, xxhash64(doc_id, text), tells texts of one doc_id apart.
+    """
     p = params
     stage = Stage(spark, "packing")
     words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
-    sized = docs.select("doc_id", F.coalesce(words, F.lit(0)).cast("long").alias("n"), F.coalesce(F.xxhash64("doc_id", "text"), F.lit(0)).alias("mark"))
+    sized = docs.select("doc_id", F.coalesce(words, F.lit(0)).cast("long").alias("n"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("mark"))
     sized = stage.table(sized, "sized")
     last = F.greatest(F.lit(0), F.ceil(F.col("n") / p.max_tokens) - 1).cast("int")
     pieces = sized.select("doc_id", "mark", "n", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
@@ -83,6 +86,7 @@ def pack(spark: SparkSession, docs: DataFrame, params: PackingParams = PackingPa
     within = Window.partitionBy("bucket", "block").orderBy("mark", "piece", "doc_id")
     numbered = full.withColumn("at", F.row_number().over(within) - 1).join(sums, ["bucket", "block"]).withColumn("at", F.col("at") + F.col("base"))
     size = F.greatest(F.lit(1), F.floor(F.lit(p.batch_tokens) / F.col("bucket"))).cast("long")
-    out = numbered.select("doc_id", "piece", "n_tokens", "bucket", F.floor(F.col("at") / size).cast("long").alias("batch"), (F.col("at") % size).cast("long").alias("slot"))
+    place = [F.col("mark").alias("text_hash"), "piece", (F.col("piece").cast("long") * p.max_tokens).alias("first_word"), "n_tokens"]
+    out = numbered.select("doc_id", *place, "bucket", F.floor(F.col("at") / size).cast("long").alias("batch"), (F.col("at") % size).cast("long").alias("slot"))
     none = F.lit(None).cast("long")
-    return out.union(dealt.where("bucket is null").select("doc_id", "piece", "n_tokens", none.alias("bucket"), none.alias("batch"), none.alias("slot")))
+    return out.union(dealt.where("bucket is null").select("doc_id", *place, none.alias("bucket"), none.alias("batch"), none.alias("slot")))
