@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows that the stage before it kept.
 The first four return the columns of documents, the last the batches.
+
+Every row is judged by its own text, whatever its doc_id: rows with a null doc_id are judged as any other, and rows that share
+one can fare differently.  Null, empty and blank texts fail the quality stage; where a later stage meets them, near-duplicate
+removal, decontamination and redaction keep them as they are and packing gives them no batch.  Of rows that are equal in
+all columns near-duplicate removal keeps one; the other stages judge each.  Every stage returns no rows for an empty table.
+Other columns, whatever their names, are kept by the first four.
 """
 
 from __future__ import annotations
@@ -11,8 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.decontaminate import benchmark_hits
-from veilmark.llm.near_dedup import NearParams, near_duplicates
+from veilmark.llm.decontaminate import drop_contaminated
+from veilmark.llm.near_dedup import NearParams, drop_near_duplicates
 from veilmark.llm.packing import pack
 from veilmark.llm.quality import keep_good
 from veilmark.llm.secrets import redact_secrets
@@ -29,16 +35,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a five-word shingle similarity of 0.8 or more: the one with the smallest doc_id."""
-    gone = near_duplicates(spark, docs, NearParams()).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group at a five-word shingle similarity of 0.8 or more: the one with the smallest doc_id."""
+    return drop_near_duplicates(spark, docs, NearParams())
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule does not hold for."""
-    hits = benchmark_hits(spark, docs, _read(spark, sf_dir, "benchmark"))
-    gone = hits.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that the contamination rule does not hold for."""
+    return drop_contaminated(spark, docs, _read(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, n_tokens, bucket, batch, slot."""
+    """doc_id, text_hash, piece, first_word, n_tokens, bucket, batch, slot."""
     return pack(spark, docs)
 
 
