@@ -43,16 +43,18 @@ class NearParams:
     num: int = 80
     den: int = 100
     #: the signature has 2 ** coordinate_bits coordinates
-    coordinate_bits: int = 12
+    coordinate_bits: int = 14
     slack_sd: float = 5.6
     #: counters by which values are put in order; any size gives the same links
     order_slots: int = 1 << 20
 
     def match_share(self, shingles: int, values: int) -> float:
         """Least share of collisions of a set of so many shingles with so many signature values, for partners up to den / num times as large."""
-        s = self.num / self.den
-        unseen = max(0.0, 1 - values / (shingles / s)) if values < shingles else 0.0
-        return max(0.5 * s, s - self.slack_sd * math.sqrt(s * (1 - s) * unseen / values)) if unseen else s
+        s, coordinates = self.num / self.den, 1 << self.coordinate_bits
+        # the share of shingles that are the least of their coordinate, in this set and in the largest partner's
+        seen = min(values / shingles, coordinates * s / shingles * -math.expm1(-shingles / s / coordinates))
+        # and one collision for sets too small for a normal law: it makes up for 1 / (1 - s) common shingles that others hide
+        return max(s / 2, s - self.slack_sd * math.sqrt(s * (1 - s) * (1 - seen) / values) - 1 / values)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -101,7 +103,11 @@ def _components(stage: Stage, docs: DataFrame, p: NearParams) -> tuple[DataFrame
     ends = stage.table(ends, "leaders")
     leaders = F.explode(F.array(F.col("x"), F.struct(*[F.col(f"y.{c}").alias(c) for c in entry]))).alias("o")
     led = posted.join(ends, "value").select(*entry, leaders).where(F.col("class") != F.col("o.class")).where(_reachable(*entry[1:], *[f"o.{c}" for c in entry[1:]]))
-    led = led.select(F.least("class", "o.class").alias("a"), F.greatest("class", "o.class").alias("b")).distinct()
+    # each entry's leaders it collides with most, counted over its lists; what they don't link meets below
+    led = led.groupBy("class", F.col("o.class").alias("other")).agg(F.count("*").alias("hits"), F.min("o.at").alias("at"))
+    most = F.max(F.struct("hits", -F.col("other"))), F.min(F.struct("at", -F.col("hits"), "other"))
+    led = led.groupBy("class").agg(F.array_distinct(F.array(-most[0]["col2"], most[1]["other"])).alias("others")).select("class", F.explode("others").alias("other"))
+    led = led.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
     star = stage.table(_confirmed(led, texts, p), "star")
     groups = connected_components(stage, star, "cc1")
 
