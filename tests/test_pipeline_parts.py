@@ -65,8 +65,12 @@ def test_references_search_whole_cells(spark):
 
 
 def test_documents():
+    assert documents.bump_minor("draft") == "draft.1" and documents.bump_minor("2.x") == "2.x.1"
+    for wrong in ("=1", "a=1", ".b=1", "a.=1", "a.b"):
+        with pytest.raises(ValueError):
+            documents.parse_overrides([wrong])
     assert documents.bump_minor("1.4.2") == "1.5.0" and documents.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'.encode()
-    assert documents.signing_payload({"x": 1, "signature": "s", "events": [1]}) == b'{"signature":null,"x":1}'
+    assert documents.signing_payload({"x": 1, "identity": {"key": "k", "signature": "s"}, "events": [1]}) == b'{"identity":{"key":"k","signature":null},"x":1}'
     assert documents.parse_overrides(["a.b=1", "a.c=x"]) == {"a": {"b": 1, "c": "x"}}
     assert '"a" -> "b"' in documents.lineage_dot([("a", "b", "upstream")], {})
     assert documents.to_jsonld("d", [{"name": "s", "inputs": ["i"], "outputs": ["o"]}], ["u"])["@graph"][2]["prov:wasGeneratedBy"] == "d#stage-s"

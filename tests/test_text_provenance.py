@@ -47,11 +47,10 @@ def test_guard(spark):
     got = {(r.conv_id, r.turn): r for r in text.guard_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     assert got[1, 0].text == "I am [EMAIL_1]" and got[1, 1].text == "Hi a@b.io, SSN [SSN]" and got[1, 1].n_leaked == 1
     assert got[2, 0].outcome == "passed"
-    blocked = text.guard_text("078-05-1120", True, text.GuardPolicy(inbound={"SSN": "block"}), text.Vault())
-    assert blocked[0] == "blocked"
-    v = text.Vault()
-    v.placeholder("EMAIL", 'q"@b.io')
-    assert v.restore("[EMAIL_1] [EMAIL_9]", json_safe=True) == 'q\\"@b.io [EMAIL_9]'
+    one = spark.createDataFrame([(1, 0, "user", "078-05-1120 a@b.io")], "conv_id long, turn long, role string, text string")
+    blocked = text.guard_conversations(one, text.GuardPolicy(inbound={"SSN": "block"})).first()
+    assert (blocked.outcome, blocked.text, blocked.n_masked) == ("blocked", "", 0)
+    assert text.restore("[EMAIL_1] [EMAIL_9]", {"[EMAIL_1]": 'q"@b.io'}, json_safe=True) == 'q\\"@b.io [EMAIL_9]'
 
 
 def test_chain_tampering(spark):
