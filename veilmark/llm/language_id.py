@@ -29,6 +29,8 @@ class LanguageParams:
     slots: int = 1 << 14
     #: bound of the sample that weights are fitted on; counts use every training text
     rows_per_language: int = 600
+    #: times that an equal text counts in it at most
+    repeats: int = 20
     #: factor that brings gram shares to a scale of about one
     scale: float = 50.0
     alpha: float = 0.3
@@ -55,7 +57,9 @@ def train(spark: SparkSession, docs: DataFrame, params: LanguageParams = Languag
     for row in counted.collect():  # slots + 1 rows; the last is the number of texts
         df[row.slot] = row.n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    sample = docs.join(F.broadcast(_least_hashes(docs.select("lang", F.xxhash64("text").alias("h")), p.rows_per_language)), ["lang"]).where(F.xxhash64("text") <= F.col("most")).select("text", "lang").distinct()
+    sample = docs.join(F.broadcast(_least_hashes(docs.select("lang", F.xxhash64("text").alias("h")), p.rows_per_language)), ["lang"]).where(F.xxhash64("text") <= F.col("most")).groupBy("text", "lang").count()
+    # equal texts count, up to a bound
+    sample = sample.select("text", "lang", F.explode(F.sequence(F.lit(1).cast("long"), F.least("count", F.lit(p.repeats).cast("long")))).alias("copy")).drop("copy")
     rows = sample.mapInArrow(language_kernels.gram_counts(p), "lang string, at binary, n binary").collect()
     names = sorted({r.lang for r in rows})
     rows.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))
