@@ -79,7 +79,13 @@ def combination_uniqueness(s, d):
     return reid.combination_uniqueness(df, df.columns).select("columns", "size", _r("unique_fraction"))
 
 
-@query("risky_combinations")
+@query("risky_combinations", """
+WITH b AS (SELECT c_nationkey, c_mktsegment, round(c_acctbal, -2) + 0 AS band FROM customer),
+ s AS (SELECT grouping_id(c_nationkey, c_mktsegment, band) g, count(*) n FROM b
+  GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), (band), (c_nationkey, c_mktsegment), (c_nationkey, band), (c_mktsegment, band), (c_nationkey, c_mktsegment, band))),
+ u AS (SELECT g, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / sum(n) f FROM s GROUP BY g HAVING f > 0.01)
+SELECT CASE g WHEN 3 THEN 'c_nationkey' WHEN 5 THEN 'c_mktsegment' WHEN 6 THEN 'band' WHEN 1 THEN 'c_nationkey,c_mktsegment' WHEN 2 THEN 'c_nationkey,band' WHEN 4 THEN 'c_mktsegment,band' ELSE 'c_nationkey,c_mktsegment,band' END AS columns,
+ (3 - bit_count(g))::INTEGER AS size, f AS unique_fraction FROM u WHERE NOT EXISTS (SELECT 1 FROM u i WHERE i.g <> u.g AND (i.g & u.g) = u.g)""")
 def risky_combinations(s, d):
     return reid.risky_combinations(t(s, d, "customer").select("c_nationkey", "c_mktsegment", F.round("c_acctbal", -2).alias("band")), ["c_nationkey", "c_mktsegment", "band"])
 
@@ -293,11 +299,16 @@ def tpr_at_fpr(s, d):
     return leakage.tpr_at_fpr(_scores(s, d)).select("level", _r("tpr"))
 
 
-@query("loss_threshold_attack")
+_CURVE_OF_TAX = "WITH c AS (SELECT -l_tax s, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) p, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) n FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1)"
+
+
+@query("loss_threshold_attack", _CURVE_OF_TAX + """, a AS (SELECT *, sum(n) OVER (ORDER BY s) cn, sum(p) OVER (ORDER BY s DESC) / sum(p) OVER () tpr, sum(n) OVER (ORDER BY s DESC) / sum(n) OVER () fpr FROM c)
+SELECT round(sum(p * (cn - n / 2)) / (sum(p) * sum(n)), 6) AS mia_auc, round(coalesce(max(CASE WHEN fpr <= 0.01 THEN tpr END), 0), 6) AS tpr_at_low_fpr,
+ round(-sum(s * p) / sum(p), 6) AS member_loss, round(-sum(s * n) / sum(n), 6) AS other_loss FROM a""")
 def loss_threshold_attack(s, d):
     a, b = _flags(s, d)
     loss = F.col("l_tax").alias("loss")
-    return leakage.loss_threshold_attack(a.select(loss), b.select(loss))
+    return leakage.loss_threshold_attack(a.select(loss), b.select(loss)).select(*[_r(c) for c in ("mia_auc", "tpr_at_low_fpr", "member_loss", "other_loss")])
 
 
 @query("binary_metrics", """WITH b AS (SELECT quality y, (n_chars > 1000)::INTEGER p, least(n_chars / 5000.0, 1)::DOUBLE q FROM documents JOIN labels USING (doc_id)), k AS (SELECT sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) tp, sum(CASE WHEN y = 0 AND p = 1 THEN 1 ELSE 0 END) fp, sum(CASE WHEN y = 1 AND p = 0 THEN 1 ELSE 0 END) fn, avg((y = p)::INTEGER) a, avg((q - y) ** 2) br, avg(p) pr FROM b)
@@ -371,7 +382,9 @@ def severity_counts(s, d):
     return audit.severity_counts(audit.entity_risk(audit.benjamini_hochberg(_p_values(s, d))))
 
 
-@query("top_findings")
+@query("top_findings", _BH + """, w AS (SELECT *, 10 * (1 - p) * CASE kind WHEN 'EMAIL' THEN 0.8 ELSE 1.0 END x FROM q),
+ k AS (SELECT vec_id, q, round(CASE WHEN q > 0.05 THEN least(x, 3.9) ELSE x END, 2) risk FROM w)
+SELECT vec_id AS entity, risk, CASE WHEN risk >= 9 THEN 'critical' WHEN risk >= 7 THEN 'high' WHEN risk >= 4 THEN 'medium' WHEN risk >= 0.1 THEN 'low' ELSE 'info' END AS severity FROM k ORDER BY risk DESC, q, vec_id LIMIT 20""")
 def top_findings(s, d):
     return audit.top_findings(audit.entity_risk(audit.benjamini_hochberg(_p_values(s, d))), 20).select("entity", _r("risk"), "severity")
 
@@ -383,7 +396,12 @@ def type_strength(s, d):
     return audit.type_strength(e).select("entity_type", _r("auc"))
 
 
-@query("hash_chain")
+_CHAIN = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS chain, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, concat_ws('|', event_id, event_type) AS body FROM events),
+ c AS (SELECT chain, seq, body, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || ':' || body) AS hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.chain, e.seq, e.body, c.hash, sha256(c.hash || ':' || e.body) FROM c JOIN e ON e.chain = c.chain AND e.seq = c.seq + 1)"""
+
+
+@query("hash_chain", _CHAIN + " SELECT * FROM c")
 def hash_chain(s, d):
     e = t(s, d, "events")
     return provenance.chain(e, "user_id", "event_id", F.concat_ws("|", "event_id", "event_type"))
@@ -394,12 +412,27 @@ def verify_chain(s, d):
     return provenance.chain_status(hash_chain(s, d))
 
 
-@query("next_link")
+@query("verify_tampered_chain", """WITH e AS (SELECT user_id::VARCHAR AS chain, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+ kept AS (SELECT *, lag(seq, 1, 0) OVER (PARTITION BY chain ORDER BY seq) before FROM e WHERE event_id % 89 <> 0)
+SELECT chain, seq, 'contents changed since it was recorded' AS problem FROM kept WHERE event_id % 97 = 0
+UNION ALL SELECT chain, seq, 'expected sequence ' || (before + 1) FROM kept WHERE seq <> before + 1
+UNION ALL SELECT chain, seq, 'does not chain from the previous event' FROM kept WHERE seq <> before + 1""")
+def verify_tampered_chain(s, d):
+    """The chain's problems once some events are changed and others removed."""
+    number = F.split("body", r"\|")[0].cast("long")
+    log = hash_chain(s, d).where(number % 89 != 0)
+    return provenance.verify_chain(log.withColumn("body", F.when(number % 97 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))))
+
+
+@query("next_link", _CHAIN + " SELECT chain, max(seq) + 1 AS seq, arg_max(hash, seq) AS prev_hash FROM c GROUP BY chain")
 def next_link(s, d):
     return provenance.next_link(hash_chain(s, d))
 
 
-@query("merkle_root")
+@query("merkle_root", r"""
+WITH RECURSIVE m AS (SELECT list(sha256('\x00'::BLOB || unhex(h)) ORDER BY h) l FROM (SELECT sha256(p_name) h FROM part)
+ UNION ALL SELECT [CASE WHEN i < len(l) THEN sha256('\x01'::BLOB || unhex(l[i]) || unhex(l[i + 1])) ELSE l[i] END FOR i IN range(1, len(l) + 1, 2)] FROM m WHERE len(l) > 1)
+SELECT l[1] AS merkle_root FROM m WHERE len(l) = 1""")
 def merkle_root(s, d):
     return provenance.merkle_levels(t(s, d, "part").select(F.sha2(F.col("p_name"), 256).alias("sha256")))
 
@@ -433,8 +466,11 @@ def lineage(s, d):
     return provenance.lineage(e.union(t(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"))), "c1")
 
 
-@query("login_throttle", """WITH b AS (SELECT *, (event_type = 'purchase')::INTEGER ok FROM events WHERE event_type IN ('error', 'purchase')), g AS (SELECT *, sum(ok) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) seg FROM b),
- f AS (SELECT *, sum(1 - ok) OVER (PARTITION BY user_id, seg ORDER BY epoch_us(ts) RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) failures FROM g) SELECT event_id, failures::BIGINT AS failures, failures >= 3 AS blocked FROM f""")
+_FAILURES = """WITH b AS (SELECT *, (event_type = 'purchase')::INTEGER ok FROM events WHERE event_type IN ('error', 'purchase')), g AS (SELECT *, sum(ok) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) seg FROM b),
+ f AS (SELECT *, sum(1 - ok) OVER (PARTITION BY user_id, seg ORDER BY epoch_us(ts) RANGE BETWEEN 43199999999 PRECEDING AND CURRENT ROW) failures FROM g)"""
+
+
+@query("login_throttle", _FAILURES + " SELECT event_id, failures::BIGINT AS failures, failures >= 3 AS blocked FROM f")
 def login_throttle(s, d):
     e = t(s, d, "events").where("event_type in ('error', 'purchase')")
     return provenance.login_throttle(e, "user_id", "ts", F.col("event_type") == "purchase", 3, 43_200).select("event_id", F.col("failures").cast("long").alias("failures"), "blocked")
@@ -547,7 +583,8 @@ def metric_deltas(s, d):
     return provenance.metric_deltas(mean(old), mean(new)).select("split", "metric", _r("delta", 5))
 
 
-@query("retry_after")
+@query("retry_after", _FAILURES + """, o AS (SELECT *, epoch_us(ts) // 1000000 AS second, lag(epoch_us(ts) // 1000000, 2) OVER (PARTITION BY user_id ORDER BY ts) oldest FROM f)
+SELECT event_id, greatest(oldest + 43200 - second, 0)::BIGINT AS retry_after FROM o WHERE failures >= 3""")
 def retry_after(s, d):
     e = t(s, d, "events").where("event_type in ('error', 'purchase')")
     return provenance.retry_after(e, "user_id", "ts", F.col("event_type") == "purchase", 3, 43_200).where("blocked").select("event_id", "retry_after")
