@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -13,6 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.running import running_totals
 from .profile import FeaturePlan, apply_plan
 
 RARE_ROWS, MAX_CATEGORIES, STRENGTHS = 5, 50, [0.001, 0.01, 0.1, 1.0, 10.0]  # fixed values
@@ -64,32 +66,93 @@ def fold_column(df: DataFrame, folds: int, label: str, classes: bool) -> DataFra
 
 @dataclass(frozen=True)
 class Trial:
+    """A setting's mean validation score (higher is better) with its standard error, and how much better the training side fits."""
+
     family: str
     score: float
-    sd: float
-    model: PipelineModel
+    error: float
+    gap: float
+    model: PipelineModel | None = None
+
+
+FAMILIES = ("linear", "boosting", "forest")
 
 
 def evaluator(task: str, label: str):
     return RegressionEvaluator(labelCol=label, metricName="rmse") if task == "regression" else MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss")
 
 
-def select_model(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int = 3, families: tuple[str, ...] = ("linear", "boosting", "forest")) -> tuple[Trial, list[Trial]]:
-    """The simplest family within one standard error of the best (families are in order of simplicity), and all trials."""
-    rows = apply_plan(df, plan).columns
-    table = fold_column(df.select(F.col(label).cast("double").alias("__label"), *[c for c in df.columns if c in plan.roles]), folds, "__label", task != "regression")
-    features = apply_plan(table, plan).columns
-    assert rows == features
-    wide = table.select("__label", "__fold", *[c for c in plan.roles if c in table.columns])
-    trials = []
+def fit_gap(model: PipelineModel, rows: DataFrame, fold: int, task: str) -> float:
+    """Accuracy (of regressions: R squared) on the rows outside a fold, less that inside it, in one pass; nan without either side."""
+    y, p = F.col("__label"), F.col("prediction")
+    fits = []
+    for side in (F.col("__fold") != fold, F.col("__fold") == fold):
+        if task == "regression":
+            fits.append(1 - F.sum(F.when(side, F.pow(y - p, 2))) / F.nullif(F.var_pop(F.when(side, y)) * F.count_if(side), F.lit(0.0)))
+        else:
+            fits.append(F.avg(F.when(side, (y == p).cast("double"))))
+    gap = model.transform(rows).agg((fits[0] - fits[1]).alias("gap")).first().gap
+    return math.nan if gap is None else gap
+
+
+def trials_of(family: str, stages: list, model, settings: list, wide: DataFrame, task: str, folds: int) -> list[Trial]:
+    """A trial for each setting; only the family's best one carries its model, fitted on all rows."""
+    cv = CrossValidator(estimator=Pipeline(stages=[*stages, model]), estimatorParamMaps=settings, evaluator=evaluator(task, "__label"), numFolds=folds, foldCol="__fold", parallelism=4, collectSubModels=True).fit(wide)
+    best = min(range(len(settings)), key=lambda i: cv.avgMetrics[i])
+    gaps = [sum(fit_gap(cv.subModels[k][i], wide, k, task) for k in range(folds)) / folds for i in range(len(settings))]
+    return [Trial(family, -cv.avgMetrics[i], cv.stdMetrics[i] / folds**0.5, gaps[i], cv.bestModel if i == best else None) for i in range(len(settings))]
+
+
+def choose(trials: list[Trial], max_gap: float = 0.05, families: tuple[str, ...] = FAMILIES) -> Trial:
+    """Of the trials within max_gap (if none is: of the least overfit one), the best of the simplest family within one standard error of the top."""
+    usable = [t for t in trials if math.isfinite(t.score) and math.isfinite(t.gap)]
+    if not usable:
+        raise ValueError("no model could be trained")
+    calm = [t for t in usable if t.gap <= max_gap] or [min(usable, key=lambda t: t.gap)]
+    top = max(calm, key=lambda t: t.score)
+    return min((t for t in calm if t.score >= top.score - top.error), key=lambda t: (families.index(t.family), -t.score))
+
+
+def _folded(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int) -> DataFrame:
+    roles = {c: role for c, role in plan.roles.items() if c != label}
+    table = apply_plan(df.withColumn("__label", F.col(label).cast("double")), FeaturePlan(roles | {"__label": "numeric"}))
+    return fold_column(table.where("__label is not null"), folds, "__label", task != "regression")
+
+
+def select_model(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int = 3, families: tuple[str, ...] = FAMILIES, max_gap: float = 0.05) -> tuple[Trial, list[Trial]]:
+    """The chosen trial, with its model fitted on all rows, and the trials of every setting; rows without a label are left out."""
+    wide = _folded(df, plan, label, task, folds)
+    trials, made = [], {}
     for family in families:
         model = estimator(family, task, "__label")
-        pipeline = Pipeline(stages=[*feature_stages(wide.drop("__fold"), "__label", family == "linear"), model])
-        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid(model, family), evaluator=evaluator(task, "__label"), numFolds=folds, foldCol="__fold", parallelism=4).fit(wide)
-        best = min(range(len(cv.avgMetrics)), key=lambda i: cv.avgMetrics[i])
-        trials.append(Trial(family, -cv.avgMetrics[best], cv.stdMetrics[best] / folds**0.5, cv.bestModel))
-    top = max(trials, key=lambda t: t.score)
-    return next(t for t in trials if t.score >= top.score - top.sd), trials
+        stages, settings = feature_stages(wide.drop("__fold"), "__label", family == "linear"), grid(model, family)
+        found = trials_of(family, stages, model, settings, wide, task, folds)
+        made |= {id(t): (stages, model, s) for t, s in zip(found, settings, strict=True)}
+        trials += found
+    chosen = choose(trials, max_gap, families)
+    if chosen.model is None:
+        stages, model, setting = made[id(chosen)]
+        chosen = replace(chosen, model=Pipeline(stages=[*stages, model]).fit(wide, setting))
+    return chosen, trials
+
+
+def overfit_model(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int = 3, trees: int = 200) -> Trial:
+    """A forest of full trees without bootstrap, with the same evidence as chosen models: what a leakage audit must find."""
+    wide = _folded(df, plan, label, task, folds)
+    model = estimator("forest", task, "__label").setBootstrap(False).setNumTrees(trees).setMaxDepth(30).setFeatureSubsetStrategy("all")
+    return trials_of("forest", feature_stages(wide.drop("__fold"), "__label", False), model, [{}], wide, task, folds)[0]
+
+
+def rank_strata(df: DataFrame, column: str, bins: int = 5, name: str = "stratum") -> DataFrame:
+    """df with the quantile bin (0 to bins - 1) of the rank of column's value; equal values share a bin, null has none.
+
+    Ranks come from running totals over the distinct values, so no task orders all rows.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    totals = running_totals(counts, "__v", {"__cum": "__n"})
+    whole = counts.agg(F.sum("__n").alias("__all"))  # one row
+    binned = totals.crossJoin(F.broadcast(whole)).select("__v", F.floor((F.col("__cum") - F.col("__n")) * bins / F.col("__all")).cast("int").alias(name))
+    return df.join(binned, df[column] == F.col("__v"), "left").drop("__v")
 
 
 def stratified_split(df: DataFrame, by: list[str], test_share: float, order: str) -> DataFrame:

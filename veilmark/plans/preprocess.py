@@ -6,7 +6,7 @@ import hashlib
 from typing import Any
 
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.documents import canonical_json
@@ -50,7 +50,13 @@ def preprocess(df: DataFrame, label: str, min_k: int = 5, test_size: float = 0.2
     manifest = build_manifest(clean, label, min_k, test_size, **how)
     quasi = manifest["quasi_identifiers"]
     safe = anonymize.apply_manifest(clean, manifest)
-    parts = ml.stratified_split(safe.withColumn("__id", F.xxhash64(*safe.columns)), [*quasi] or [label], test_size, "__id").drop("__id")
+    keyed = safe.withColumn("__id", F.xxhash64(*safe.columns)).withColumn("__label", F.col(label))
+    if task == "regression":
+        keyed = ml.rank_strata(keyed.drop("__label"), label, name="__label")
+    # a group is split by label too where that leaves two rows or more for a label
+    both = F.count("*").over(Window.partitionBy(*quasi, "__label"))
+    keyed = keyed.withColumn("__label", F.when(both >= 2, F.col("__label")))
+    parts = ml.stratified_split(keyed, [*quasi, "__label"], test_size, "__id").drop("__id", "__label")
     sides = [parts.where(F.col("is_test") == test).drop("is_test") for test in (False, True)]
     train, test = (reid.suppress_small_groups(s, quasi, min_k) if quasi else s for s in sides)
     return train, test, manifest
