@@ -1,9 +1,10 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from veilmark.operators import ml, provenance
+from veilmark.operators import audit, ml, provenance
 from veilmark.operators.profile import FeaturePlan
 from veilmark.plans import preprocess
 from veilmark.sources import tables
@@ -70,3 +71,19 @@ def test_verification_of_tampered_chain(spark):
     assert [(r.seq, r.problem) for r in provenance.verify_chain(changed).collect()] == [(3, "contents changed since it was recorded")]
     cut = provenance.verify_chain(log.where("seq <> 4")).collect()
     assert {(r.seq, r.problem) for r in cut} == {(5, "expected sequence 4"), (5, "does not chain from the previous event")}
+
+
+def test_gram_losses_against_a_count(spark):
+    texts = ["the cat sat", "ab", "a the mat", "", None]
+    spans = [("a", 0, 0, "the cat sat", 4, 7), ("b", 0, 0, "ab", 0, 2), ("c", 0, 0, "zzq", 1, 3), ("d", 0, 0, "ab", 1, 1)]
+    counts = audit.gram_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = audit.gram_losses(spark.createDataFrame(spans, "id string, pos int, variant int, text string, start int, end int"), counts)
+    grams = Counter(("   " + t)[i : i + 4] for t in texts if t for i in range(len(t)))
+    whole = Counter()
+    for g, n in grams.items():
+        whole[g[:3]] += n
+    want = {}
+    for name, _, _, text, start, end in spans[:3]:
+        own = [("   " + text)[i : i + 4] for i in range(start, end)]
+        want[name] = sum(-math.log((grams[g] + 0.1) / (whole[g[:3]] + 25.6)) for g in own) / len(own)
+    assert {r.id: round(r.loss, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}

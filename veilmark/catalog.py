@@ -560,7 +560,7 @@ def entity_audit(s, d):
 
 @query("preprocess")
 def preprocess_query(s, d):
-    train, test, _ = preprocess.preprocess(tables.demo_table(s, 600, 1), "income", 3)
+    train, test, _ = preprocess.preprocess(t(s, d, "customer").select("c_nationkey", F.round("c_acctbal").alias("balance"), "c_mktsegment"), "c_mktsegment", 3, width=1000, requested=["c_nationkey", "balance"])
     return train.select(F.lit("train").alias("side")).union(test.select(F.lit("test"))).groupBy("side").agg(F.count("*").alias("rows"))
 
 

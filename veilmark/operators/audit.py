@@ -121,6 +121,33 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 1.0 if v is None or not math.isfinite(v) else sig.normal_sf(v))
 
 
+def gram_counts(records: DataFrame, order: int = 4) -> DataFrame:
+    """context, next, n: how often a character follows the order - 1 before it, over the whole texts of all records (null: none)."""
+    padded = F.split(F.concat(F.lit(" " * (order - 1)), "text"), "")
+    grams = F.transform(F.sequence(F.lit(1), F.size("chars") - order + 1), lambda i: F.struct(F.array_join(F.slice("chars", i, order - 1), "").alias("context"), F.get("chars", i + order - 2).alias("next")))
+    return records.where("text is not null and text <> ''").select(padded.alias("chars")).select(F.explode(grams).alias("g")).groupBy("g.context", "g.next").agg(F.count("*").alias("n"))
+
+
+def gram_losses(rows: DataFrame, counts: DataFrame, order: int = 4, add: float = 0.1, alphabet: int = 256) -> DataFrame:
+    """id, pos, variant, loss: the mean negative log-probability of the characters of each span, given those before them.
+
+    rows have text and start, end of a span; only the span's own grams meet the counts, whatever the length of the text.
+    An empty span has no row.
+    """
+    chars = F.split(F.concat(F.lit(" " * (order - 1)), F.substring("text", F.greatest(F.col("start") - order + 2, F.lit(1)), F.col("end") - F.greatest(F.col("start") - order + 1, F.lit(0)))), "")
+    span = F.slice("chars", F.greatest(F.lit(1), F.size("chars") - (F.col("end") - F.col("start")) - order + 2), F.col("end") - F.col("start") + order - 1)
+    at = F.sequence(F.lit(1), F.col("end") - F.col("start"))
+    grams = F.transform(at, lambda i: F.struct(F.array_join(F.slice("chars", i, order - 1), "").alias("context"), F.get("chars", i + order - 2).alias("next")))
+    own = rows.where("end > start").select("id", "pos", "variant", "start", "end", chars.alias("chars")).withColumn("chars", span).select("id", "pos", "variant", F.explode(grams).alias("g")).select("id", "pos", "variant", "g.*")
+    # each gram of the spans is looked up once
+    wanted = own.groupBy("context", "next").agg(F.count("*").alias("times"))
+    totals = counts.groupBy("context").agg(F.sum("n").alias("whole"))
+    known = wanted.join(counts, ["context", "next"], "left").join(totals, "context", "left")
+    zero = F.lit(0)
+    loss = -F.log((F.coalesce("n", zero) + add) / (F.coalesce("whole", zero) + add * alphabet))
+    return own.join(known.select("context", "next", loss.alias("l")), ["context", "next"]).groupBy("id", "pos", "variant").agg(F.avg("l").alias("loss"))
+
+
 def attack_strength(scores: DataFrame) -> DataFrame:
     """One row: auc and tpr at 0.1, 1 and 5 % of rows (member, control)."""
     both = scores.select(F.col("member").alias("score"), F.lit(1).alias("member")).union(scores.select("control", F.lit(0)))
