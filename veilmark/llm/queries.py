@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality, toxicity
 from .decontaminate import benchmark_hits
+from .manifest import document_manifest
 from .near_dedup import NearParams, near_duplicates
+from .neighbours import nearest
 from .packing import pack
 from .passages import repeated_passages
+from .periodic import periodic_runs, planted, strongest
 from .pii import personal_data
 from .secrets import secret_spans
 from .url_filter import judge_urls
@@ -73,12 +76,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(spark, docs, model).where("flagged")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest(spark, vectors, vectors.where("id % 20 = 0"))
+
+
+def _crc32(number: Column) -> Column:
+    return F.crc32(number.cast("string").cast("binary"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    altered = F.when(_crc32(F.col("doc_id")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = document_manifest(spark, _table(spark, sf_dir, "documents"), altered)
+    proof = F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), _crc32(F.col("doc_id"))).alias("text"))
+    best, digest = F.col("best"), lambda c: F.sha2(c.cast("binary"), 256)
+    every = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    milli = F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli")
+    found = periodic_runs(docs).withColumn("best", strongest(F.col("runs")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, digest(every).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [op1_url_filter, op2_near_dedup, op3_secrets, op4_pii, op5_quality, op6_substring_dedup, op7_packing, op8_language_id, op9_decontaminate, op10_toxicity]
+    every += [op11_nearest, op12_merkle_manifest, op13_periodic_runs]
     return {f.__name__: f for f in every} | {"pipeline": pipeline}
 
 
@@ -107,6 +136,33 @@ SELECT d.doc_id, coalesce(len(d.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0) AS
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE b(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM b WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS t FROM b WHERE k = 8),
+z(id, s, k, c) AS (SELECT DISTINCT doc_id, doc_id::VARCHAR, 0, 4294967295 FROM documents UNION ALL SELECT id, s, k + 1, xor(c >> 8, t[(xor(c, ord(s[k + 1])) & 255) + 1]) FROM z, t WHERE k < length(s)),
+even AS (SELECT id FROM z WHERE k = length(s) AND xor(c, 4294967295) % 2 = 0),
+d AS (SELECT *, CASE WHEN doc_id IN (SELECT id FROM even) THEN replace(text, chr(10), '') ELSE text END AS found FROM documents),
+f AS (SELECT doc_id, coalesce('=' || source, '') AS src, {_leaf_sql("text")} AS leaf, {_leaf_sql("found")} AS now FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf, now) - 1 AS pos, row_number() OVER () AS rid FROM f),
+m(src, lvl, l) AS (SELECT src, 0, list(leaf ORDER BY pos) FROM r GROUP BY src UNION ALL SELECT src, lvl + 1, [sha256(array_to_string(l[i:i + 2], '')) FOR i IN range(1, len(l) + 1, 3)] FROM m WHERE len(l) > 1),
+g AS (SELECT src, l[1] AS subroot, row_number() OVER (ORDER BY src) - 1 AS pos FROM m WHERE len(l) = 1),
+u(lvl, l) AS (SELECT 0, list(subroot ORDER BY pos) FROM g UNION ALL SELECT lvl + 1, [sha256(array_to_string(l[i:i + 2], '')) FOR i IN range(1, len(l) + 1, 3)] FROM u WHERE len(l) > 1),
+n AS (SELECT rid, m.lvl, l, floor(pos / 3 ** m.lvl)::BIGINT AS ix FROM r JOIN m USING (src) WHERE len(l) > 1
+ UNION ALL SELECT rid, 1000 + u.lvl, l, floor(g.pos / 3 ** u.lvl)::BIGINT FROM r JOIN g USING (src), u WHERE len(l) > 1),
+s AS (SELECT rid, lvl, array_to_string(l[ix - ix % 3 + 1:ix], '') AS a, array_to_string(l[ix + 2:ix - ix % 3 + 3], '') AS z FROM n),
+p AS (SELECT rid, list({{'a': a, 'z': z}} ORDER BY lvl) AS steps, sha256(string_agg(a || z, '' ORDER BY lvl)) AS proof FROM s GROUP BY rid),
+v(rid, k, h) AS (SELECT rid, 0, now FROM r UNION ALL SELECT v.rid, k + 1, sha256(steps[k + 1].a || h || steps[k + 1].z) FROM v JOIN p USING (rid) WHERE k < len(steps)),
+w AS (SELECT rid, arg_max(h, k) AS folded FROM v GROUP BY rid)
+SELECT doc_id, leaf, subroot, x.l[1] AS root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = x.l[1] AS verified
+FROM r JOIN g USING (src) JOIN w USING (rid) LEFT JOIN p USING (rid), (SELECT l FROM u WHERE len(l) = 1) x"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other results depend on learned models, mined rules or hash order; their tests use brute force instead."""
-    return {"op2_near_dedup": OP2_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op9_decontaminate": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
