@@ -590,6 +590,9 @@ def retry_after(s, d):
     return provenance.retry_after(e, "user_id", "ts", F.col("event_type") == "purchase", 3, 43_200).where("blocked").select("event_id", "retry_after")
 
 
+from . import catalog_documents  # noqa: E402, F401  registers its queries here
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
