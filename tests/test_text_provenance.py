@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.functions import patterns as P
-from veilmark.operators import metadata, pii_scan, policy, provenance, text
+from veilmark.operators import guard, metadata, pii_scan, policy, provenance, text
 
 SENTENCE = "Mail jo@ex.com, SSN 078-05-1120, card 4111 1111 1111 1111, call (202) 555-0143, from 10.0.0.1 on 2024-01-05."
 
@@ -44,13 +44,13 @@ def test_sanitize(spark):
 
 def test_guard(spark):
     turns = [(1, 0, "user", "I am a@b.io"), (1, 1, "assistant", "Hi [EMAIL_1], SSN 078-05-1120"), (2, 0, "user", "on 2024-01-05")]
-    got = {(r.conv_id, r.turn): r for r in text.guard_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    got = {(r.conv_id, r.turn): r for r in guard.guard_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     assert got[1, 0].text == "I am [EMAIL_1]" and got[1, 1].text == "Hi a@b.io, SSN [SSN]" and got[1, 1].n_leaked == 1
     assert got[2, 0].outcome == "passed"
     one = spark.createDataFrame([(1, 0, "user", "078-05-1120 a@b.io")], "conv_id long, turn long, role string, text string")
-    blocked = text.guard_conversations(one, text.GuardPolicy(inbound={"SSN": "block"})).first()
+    blocked = guard.guard_conversations(one, guard.GuardPolicy(inbound={"SSN": "block"})).first()
     assert (blocked.outcome, blocked.text, blocked.n_masked) == ("blocked", "", 0)
-    assert text.restore("[EMAIL_1] [EMAIL_9]", {"[EMAIL_1]": 'q"@b.io'}, json_safe=True) == 'q\\"@b.io [EMAIL_9]'
+    assert guard.restore("[EMAIL_1] [EMAIL_9]", {"[EMAIL_1]": 'q"@b.io'}, json_safe=True) == 'q\\"@b.io [EMAIL_9]'
 
 
 def test_chain_tampering(spark):

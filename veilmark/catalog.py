@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import patterns as P
-from .operators import anonymize, audit, drift, leakage, metadata, ml, pii_scan, policy, profile, provenance, references, reid, text
+from .operators import anonymize, audit, drift, guard, leakage, metadata, ml, pii_scan, policy, profile, provenance, references, reid, text
 from .plans import gate, preprocess
 from .sources import tables
 
@@ -261,7 +261,7 @@ def sanitize_drop(s, d):
 
 @query("guard_conversations")
 def guard_conversations(s, d):
-    return text.guard_conversations(t(s, d, "conversations")).groupBy("outcome").agg(F.count("*").alias("turns"), F.sum("n_masked").alias("masked"))
+    return guard.guard_conversations(t(s, d, "conversations")).groupBy("outcome").agg(F.count("*").alias("turns"), F.sum("n_masked").alias("masked"))
 
 
 @query("audit_targets")
@@ -590,7 +590,7 @@ def retry_after(s, d):
     return provenance.retry_after(e, "user_id", "ts", F.col("event_type") == "purchase", 3, 43_200).where("blocked").select("event_id", "retry_after")
 
 
-from . import catalog_documents  # noqa: E402, F401  registers its queries here
+from . import catalog_documents, catalog_guard  # noqa: E402, F401  these register their queries here
 
 
 def queries() -> dict[str, Query]:

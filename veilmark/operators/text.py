@@ -1,42 +1,28 @@
-"""Span detection, sanitising and the request / reply guard."""
+"""Span detection, sanitising and stable splits."""
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-import json
-import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from .detectors import SPANS, Detector, spans
 
-SPANS = "array<struct<start:int,end:int,entity_type:string>>"
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("entity_type", T.StringType())]))
-_PREFILTER = r"@|(?U)\d"  # every pattern but an IPv6 of letters needs one of these; colons cover that
 
-
-@F.pandas_udf(_SPANS)
-def _detected(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"start": a, "end": b, "entity_type": k} for a, b, k in P.detect_spans(t)])
-
-
-def detect(text: Column) -> Column:
+def detect(text: Column, detectors: Sequence[Detector | str] = ("patterns",)) -> Column:
     """Non-overlapping spans in code points; texts without any sign of one don't leave the JVM."""
-    empty = F.array().cast(SPANS)
-    return F.when(text.rlike(_PREFILTER) | text.contains("::"), _detected(text)).otherwise(empty)
+    return spans(text, detectors)
 
 
-def detect_records(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that may hold a span go through the detector, the others get none."""
-    maybe = F.col(text).rlike(_PREFILTER) | F.col(text).contains(":")
-    some = df.where(maybe).withColumn("entities", _detected(F.col(text)))
-    return some.unionByName(df.where(~F.coalesce(maybe, F.lit(False))).withColumn("entities", F.array().cast(SPANS)))
+def detect_records(df: DataFrame, text: str = "text", detectors: Sequence[Detector | str] = ("patterns",)) -> DataFrame:
+    """df with entities."""
+    return df.withColumn("entities", spans(F.col(text), detectors))
 
 
 def fingerprint(key: bytes) -> Callable[[Column, Column], Column]:
@@ -106,90 +92,6 @@ def risky_spans(findings: DataFrame, records: DataFrame, minimum: str = "high",
     return risky.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-# --- guard ----------------------------------------------------------------------------------------
-@dataclass(frozen=True)
-class GuardPolicy:
-    """What happens to a found value: mask (numbered placeholder, restored in replies), redact, block (the turn) or allow."""
-
-    inbound: dict[str, str] = field(default_factory=dict)
-    inbound_default: str = "mask"
-    outbound: dict[str, str] = field(default_factory=dict)
-    memorized: str = "redact"
-
-    def request_actions(self) -> dict[str, str]:
-        return {"DATE": "allow"} | self.inbound
-
-    def reply_actions(self) -> dict[str, str]:
-        return {kind: "redact" for kind, weight in P.IMPACT.items() if weight == 1.0} | self.outbound
-
-
-def _action(kind: Column, actions: dict[str, str], otherwise: str) -> Column:
-    """The action of a type by a table of types."""
-    table = F.create_map(*[F.lit(x) for pair in actions.items() for x in pair]) if actions else F.create_map().cast("map<string,string>")
-    return F.coalesce(F.try_element_at(table, kind), F.lit(otherwise))
-
-
-def restore(text: str, placeholders: dict[str, str], json_safe: bool = False) -> str:
-    """The text with the values of its placeholders; unknown ones stay, and values are escaped for JSON if asked."""
-    return re.sub(r"\[[A-Z][A-Z0-9]*_[0-9]+\]", lambda m: (json.dumps(placeholders[m[0]])[1:-1] if json_safe else placeholders[m[0]]) if m[0] in placeholders else m[0], text)
-
-
-def placeholders(found: DataFrame) -> DataFrame:
-    """conv_id, entity_type, value, since, token of found(conv_id, turn, start, entity_type, value): each different value of a conversation
-    is numbered within its type by where it first stands."""
-    first = found.groupBy("conv_id", "entity_type", "value").agg(F.min(F.struct("turn", "start")).alias("first"))
-    number = F.row_number().over(Window.partitionBy("conv_id", "entity_type").orderBy("first"))
-    return first.select("conv_id", "entity_type", "value", F.col("first.turn").alias("since"), F.concat(F.lit("["), "entity_type", F.lit("_"), number.cast("string"), F.lit("]")).alias("token"))
-
-
-def guard_conversations(turns: DataFrame, policy: GuardPolicy = GuardPolicy(), memorized: frozenset[str] = frozenset(), key: bytes = b"") -> DataFrame:
-    """turns(conv_id, turn, role, text) with text as the other side may see it, outcome and n_masked, n_redacted, n_leaked.
-
-    Requests give their values placeholders; a reply may name what an earlier request of its conversation did, and anything
-    else that is found in it is a leak.  A null text is empty; turns are told apart by (conv_id, turn).
-    """
-    turns = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("request", ~F.coalesce(F.col("role") == "assistant", F.lit(False)))
-    spans = detect_records(turns).select("conv_id", "turn", "request", "text", F.explode("entities").alias("e"))
-    spans = spans.select("conv_id", "turn", "request", "e.*", F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start")).alias("value"))
-
-    asked = spans.where("request").withColumn("action", _action(F.col("entity_type"), policy.request_actions(), policy.inbound_default))
-    asked = asked.withColumn("blocked", F.max(F.col("action") == "block").over(Window.partitionBy("conv_id", "turn")))
-    tokens = placeholders(asked.where("action = 'mask' and not blocked").drop("action"))
-    asked = asked.drop("blocked").join(tokens, ["conv_id", "entity_type", "value"], "left").withColumns({"leaked": F.lit(False), "known": F.lit(False)})
-
-    said = spans.where("not request")
-    named = tokens.groupBy("conv_id", "value").agg(F.min("since").alias("since"))
-    new = said.join(named, ["conv_id", "value"], "left").where("since is null or since >= turn").drop("since")
-    known = fingerprint(key)(F.col("entity_type"), F.col("value")).isin(*memorized) if memorized else F.lit(False)
-    new = new.withColumn("known", known).withColumn("action", F.when(F.col("known"), policy.memorized).otherwise(_action(F.col("entity_type"), policy.reply_actions(), "allow")))
-    new = new.withColumn("token", F.lit(None).cast("string")).withColumn("leaked", F.lit(True))
-
-    columns = ["conv_id", "turn", "start", "end", "entity_type", "value", "action", "token", "leaked", "known"]
-    steps = asked.select(*columns).union(new.select(*columns))
-    mask, redact = (F.col("action") == "mask") & ~F.col("leaked"), F.col("action").isin("redact", "mask")
-    shown = F.when(mask, F.col("token")).when(redact, F.concat(F.lit("["), "entity_type", F.lit("]"))).otherwise(F.col("value"))
-    count = lambda c: F.count(F.when(c, 1))
-    done = steps.withColumn("shown", shown).groupBy("conv_id", "turn").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "shown"))).alias("edits"), F.max(F.col("action") == "block").alias("blocked"),
-        count(mask).alias("n_masked"), count(redact & ~mask).alias("n_redacted"), count(F.col("leaked")).alias("n_leaked"), count(F.col("known")).alias("n_known"),
-    )
-    held = tokens.groupBy("conv_id").agg(F.collect_list(F.struct("token", "value", "since")).alias("tokens"))  # values of one conversation
-    out = turns.join(done, ["conv_id", "turn"], "left").join(held, "conv_id", "left")
-
-    from_end = lambda i: F.coalesce(F.get(F.col("edits"), i - 1)["end"], F.lit(0))
-    parts = F.transform("edits", lambda e, i: F.concat(F.substring(F.col("text"), from_end(i) + 1, e["start"] - from_end(i)), e["shown"]))
-    edited = F.concat(F.array_join(parts, ""), F.substring(F.col("text"), F.element_at("edits", -1)["end"] + 1, F.length("text")))
-    edited = F.when(F.size("edits") > 0, edited).otherwise(F.col("text"))
-    restored = F.aggregate("tokens", edited, lambda text, t: F.when(t["since"] < F.col("turn"), F.replace(text, t["token"], t["value"])).otherwise(text))
-    shown = F.when(F.col("request") | F.col("tokens").isNull(), edited).otherwise(restored)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    blocked = F.coalesce("blocked", F.lit(False))
-    touched = zero("n_masked") + zero("n_redacted") + zero("n_known") > 0
-    unless = lambda c: F.when(blocked, 0).otherwise(zero(c)).cast("long").alias(c)
-    outcome = F.when(blocked, "blocked").when(touched, "protected").otherwise("passed")
-    return out.select("conv_id", "turn", "role", F.when(blocked, "").otherwise(shown).alias("text"), outcome.alias("outcome"), unless("n_masked"), unless("n_redacted"), zero("n_leaked").cast("long").alias("n_leaked"))
-
-
 # --- stable splits ----------------------------------------------------------------------------------
 def hash_bucket(key: Column, buckets: int) -> Column:
     """First four bytes of SHA-256, big-endian, modulo the number of buckets."""
