@@ -1,8 +1,8 @@
 """Secret scan: fixed credential patterns plus sliding-window Shannon entropy.
 
-Candidate strings are long runs of one token alphabet with a digit and a letter.  A window slides over each;
-the sum of c log2 c over its character counts is updated by the counts of the character that enters and of the one
-that leaves, so a step costs one look at the window, whatever the candidate's length.  A candidate whose best window reaches the
+Candidate strings are long runs of one token alphabet with a digit and a letter.  A window slides over each; its character counts are carried
+along and changed by the character that enters and the one that leaves, and so is the sum of c log2 c over them, so a step costs the
+same whatever the candidate's length and the window's.  A candidate whose best window reaches the
 threshold of its character class (hexadecimal or base64) is a secret unless an allow-list pattern fits it or a
 fixed pattern already covers part of it.
 
@@ -13,6 +13,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,7 @@ HEX = r"[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "entropy")
 
 _TOKEN = "A-Za-z0-9+/_=-"
+ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 CANDIDATE = rf"(?<![{_TOKEN}])(?=[A-Za-z+/_=-]*+[0-9])[{_TOKEN}]{{20,}}+"
 
 
@@ -40,31 +42,51 @@ class SecretParams:
     allow: tuple[str, ...] = (
         r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
         r"^[0-9/_=+-]+$",
-        r"^/?([A-Za-z]+[/_-])*[A-Za-z]*[0-9]{0,4}/?$",
+        # words between single separators; without groups, which Java matches by recursion
+        r"^(?!.*[/_-]{2}.)(?!.*[/_-][_-]$)/?(?![/_-])[A-Za-z/_-]*+[0-9]{0,4}/?$",
     )
 
 
+def _codes(text: Column) -> Column:
+    """The place of each character in the token alphabet; all characters outside it share the one behind."""
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(ALPHABET) for x in (c, i)])
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.try_element_at(place, c), F.lit(len(ALPHABET))))
+
+
 def window_entropy(text: Column, window: int) -> Column:
-    """Largest Shannon entropy (bits a character) of any window of the text, by incremental counts; -1 for shorter texts."""
+    """Largest Shannon entropy (bits a character) of any window of the text, by incremental counts; -1 for shorter texts.
+
+    The text is split once.  What is carried from character to character are the window's counts, packed into a few whole numbers, and the sum of
+    c log2 c over them: the character that enters and the one that leaves change a count each, and the sum by what that count adds.
+    """
     # f[c] = c log2 c; the entropy of a window of n characters is log2 n - sum f[c] / n
     f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    count = lambda part, ch: F.length(part) - F.length(F.replace(part, ch))
+    bits = (window + 1).bit_length()
+    each = 60 // bits  # counts in one whole number
+    words = -(-(len(ALPHABET) + 1) // each)
+    shift = lambda code: (code % each) * bits
 
-    def change(at: Column) -> Column:
-        """What the character at this place adds to the sum and the one that leaves takes away, by their counts in the window."""
-        before = F.substring(text, F.greatest(F.lit(1), at - window), F.least(F.lit(window), at - 1))
-        came, gone = F.substring(text, at, 1), F.substring(text, at - window, 1)
-        had = count(before, came)
-        left = count(before, gone) + (came == gone).cast("int")
-        return F.get(f, had + 1) - F.get(f, had) + F.when(at > window, F.get(f, left - 1) - F.get(f, left)).otherwise(0.0)
+    def count(held: Column, code: Column) -> Column:
+        moved = F.call_function("shiftright", F.get(held, F.floor(code / each).cast("int")), shift(code))
+        return moved.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["s"] + x
-        bits = F.when(acc["i"] + 1 >= window, F.lit(math.log2(window)) - s / window).otherwise(-1.0)
-        return F.struct(s.alias("s"), (acc["i"] + 1).alias("i"), F.greatest(acc["best"], bits).alias("best"))
+    def added(held: Column, code: Column, sign: int) -> Column:
+        one = F.call_function("shiftleft", F.lit(sign).cast("long"), shift(code))
+        return F.transform(held, lambda v, j: F.when(j == F.floor(code / each), v + one).otherwise(v))
 
-    changes = F.transform(F.sequence(F.lit(1), F.length(text)), change)
-    return F.when(F.length(text) >= window, F.aggregate(changes, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(-1.0).alias("best")), step, lambda acc: acc["best"])).otherwise(-1.0)
+    def step(acc: Column, x: Column) -> Column:
+        out = count(acc["held"], x["out"])
+        less = acc["sum"] + F.coalesce(F.get(f, out - 1) - F.get(f, out), F.lit(0.0))
+        had = count(acc["held"], x["code"]) - F.coalesce((x["code"] == x["out"]).cast("int"), F.lit(0))
+        more = less + F.get(f, had + 1) - F.get(f, had)
+        held = F.when(x["out"].isNull(), acc["held"]).otherwise(added(acc["held"], x["out"], -1))
+        full = F.when(acc["i"] + 1 >= window, F.lit(math.log2(window)) - more / window).otherwise(-1.0)
+        return F.struct(added(held, x["code"], 1).alias("held"), more.alias("sum"), (acc["i"] + 1).alias("i"), F.greatest(acc["best"], full).alias("best"))
+
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("held"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(-1.0).alias("best"))
+    moves = lambda codes: F.transform(codes, lambda c, i: F.struct(c.alias("code"), F.get(codes, i - window).alias("out")))
+    best = spans.bound(_codes(text), lambda codes: F.aggregate(moves(codes), zero, step, lambda acc: acc["best"]))
+    return F.when(F.length(text) >= window, best).otherwise(-1.0)
 
 
 def find_secrets(docs: DataFrame, params: SecretParams = SecretParams()) -> DataFrame:
