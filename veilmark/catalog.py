@@ -414,9 +414,9 @@ def verify_chain(s, d):
 
 @query("verify_tampered_chain", """WITH e AS (SELECT user_id::VARCHAR AS chain, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
  kept AS (SELECT *, lag(seq, 1, 0) OVER (PARTITION BY chain ORDER BY seq) before FROM e WHERE event_id % 89 <> 0)
-SELECT chain, seq, 'contents changed since it was recorded' AS problem FROM kept WHERE event_id % 97 = 0
-UNION ALL SELECT chain, seq, 'expected sequence ' || (before + 1) FROM kept WHERE seq <> before + 1
-UNION ALL SELECT chain, seq, 'does not chain from the previous event' FROM kept WHERE seq <> before + 1""")
+SELECT chain, seq, 'content' AS problem FROM kept WHERE event_id % 97 = 0
+UNION ALL SELECT chain, seq, 'sequence ' || (before + 1) || ' missing' FROM kept WHERE seq <> before + 1
+UNION ALL SELECT chain, seq, 'link' FROM kept WHERE seq <> before + 1""")
 def verify_tampered_chain(s, d):
     """The chain's problems once some events are changed and others removed."""
     number = F.split("body", r"\|")[0].cast("long")
@@ -590,6 +590,20 @@ def retry_after(s, d):
     return provenance.retry_after(e, "user_id", "ts", F.col("event_type") == "purchase", 3, 43_200).where("blocked").select("event_id", "retry_after")
 
 
+@query("model_choice", """WITH f AS (SELECT CASE l_returnflag WHEN 'A' THEN 'linear' WHEN 'N' THEN 'boosting' ELSE 'forest' END AS family, l_linenumber AS setting, l_orderkey % 5 AS fold, -avg(l_tax) AS score, avg(l_discount) AS fit, avg(l_discount + (l_partkey % 9) / 100.0) AS train_fit FROM lineitem GROUP BY 1, 2, 3),
+ t AS (SELECT family, setting, avg(score) AS score, stddev_pop(score) / sqrt(count(*)) AS error, avg(train_fit - fit) AS gap, CASE family WHEN 'linear' THEN 1 WHEN 'boosting' THEN 2 ELSE 3 END AS rank FROM f GROUP BY 1, 2),
+ e AS (SELECT *, gap <= 0.04 OR (SELECT min(gap) FROM t) > 0.04 AND gap = (SELECT min(gap) FROM t) AS eligible FROM t),
+ b AS (SELECT score - error AS bar FROM e WHERE eligible ORDER BY score DESC LIMIT 1),
+ c AS (SELECT family, setting FROM e, b WHERE eligible AND score >= bar ORDER BY rank, score DESC, setting LIMIT 1)
+SELECT e.family, e.setting, round(score, 6) AS score, round(error, 6) AS error, round(gap, 6) AS gap, eligible, c.setting IS NOT NULL AS chosen FROM e LEFT JOIN c ON c.family = e.family AND c.setting = e.setting""")
+def model_choice(s, d):
+    """The choice over cross-validation rows, with line items as folds of three families."""
+    family = F.when(F.col("l_returnflag") == "A", "linear").when(F.col("l_returnflag") == "N", "boosting").otherwise("forest")
+    folds = t(s, d, "lineitem").groupBy(family.alias("family"), F.col("l_linenumber").alias("setting"), (F.col("l_orderkey") % 5).alias("fold"))
+    folds = folds.agg((-F.avg("l_tax")).alias("score"), F.avg("l_discount").alias("fit"), F.avg(F.col("l_discount") + F.col("l_partkey") % 9 / 100).alias("train_fit"))
+    return ml.ranked(ml.cv_rows(folds), 0.04).select("family", "setting", _r("score"), _r("error"), _r("gap"), "eligible", "chosen")
+
+
 from . import catalog_documents, catalog_guard  # noqa: E402, F401  these register their queries here
 
 

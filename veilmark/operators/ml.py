@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
@@ -47,15 +48,40 @@ def pooled_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def estimator(family: str, task: str, label: str):
+class RestProbabilities(Transformer):
+    """probability from the margins of one boosted model for each class against the rest, scaled to a sum of one."""
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        each = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        total = F.aggregate(each, F.lit(0.0), lambda s, p: s + p)
+        return dataset.withColumn("probability", array_to_vector(F.transform(each, lambda p: p / total)))
+
+
+def estimator(family: str, task: str, label: str, classes: int = 2):
     if task == "regression":
         return {"linear": LinearRegression(labelCol=label), "boosting": GBTRegressor(labelCol=label, maxIter=20), "forest": RandomForestRegressor(labelCol=label, seed=0)}[family]
-    return {"linear": LogisticRegression(labelCol=label), "boosting": GBTClassifier(labelCol=label, maxIter=20), "forest": RandomForestClassifier(labelCol=label, seed=0)}[family]
+    boosting = GBTClassifier(labelCol=label, maxIter=20)
+    if classes > 2:
+        boosting = OneVsRest(classifier=boosting, labelCol=label, rawPredictionCol="rawPrediction")
+    return {"linear": LogisticRegression(labelCol=label), "boosting": boosting, "forest": RandomForestClassifier(labelCol=label, seed=0)}[family]
+
+
+def pipeline(stages: list, model) -> Pipeline:
+    return Pipeline(stages=[*stages, model, *([RestProbabilities()] if isinstance(model, OneVsRest) else [])])
 
 
 def grid(model, family: str):
-    b = ParamGridBuilder()
-    return (b.addGrid(model.regParam, STRENGTHS) if family == "linear" else b.addGrid(model.maxDepth, [3, 5])).build()
+    b, tree = ParamGridBuilder(), model.getClassifier() if isinstance(model, OneVsRest) else model
+    return (b.addGrid(model.regParam, STRENGTHS) if family == "linear" else b.addGrid(tree.maxDepth, [3, 5])).build()
+
+
+def class_order(df: DataFrame, label: str, most: int = 1000) -> list[str]:
+    """The classes as text, numbers by value before other texts; more than ``most`` are no classes."""
+    text = F.col(label).cast("string")
+    rows = df.where(text.isNotNull()).groupBy(text.alias("c")).agg(F.first(text.try_cast("double")).alias("v")).orderBy(F.asc_nulls_last("v"), "c").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{label} has more than {most} classes")
+    return [r.c for r in rows]
 
 
 def fold_column(df: DataFrame, folds: int, label: str, classes: bool) -> DataFrame:
@@ -97,48 +123,86 @@ def fit_gap(model: PipelineModel, rows: DataFrame, fold: int, task: str) -> floa
 
 def trials_of(family: str, stages: list, model, settings: list, wide: DataFrame, task: str, folds: int) -> list[Trial]:
     """A trial for each setting; only the family's best one carries its model, fitted on all rows."""
-    cv = CrossValidator(estimator=Pipeline(stages=[*stages, model]), estimatorParamMaps=settings, evaluator=evaluator(task, "__label"), numFolds=folds, foldCol="__fold", parallelism=4, collectSubModels=True).fit(wide)
+    cv = CrossValidator(estimator=pipeline(stages, model), estimatorParamMaps=settings, evaluator=evaluator(task, "__label"), numFolds=folds, foldCol="__fold", parallelism=4, collectSubModels=True).fit(wide)
     best = min(range(len(settings)), key=lambda i: cv.avgMetrics[i])
     gaps = [sum(fit_gap(cv.subModels[k][i], wide, k, task) for k in range(folds)) / folds for i in range(len(settings))]
     return [Trial(family, -cv.avgMetrics[i], cv.stdMetrics[i] / folds**0.5, gaps[i], cv.bestModel if i == best else None) for i in range(len(settings))]
 
 
-def choose(trials: list[Trial], max_gap: float = 0.05, families: tuple[str, ...] = FAMILIES) -> Trial:
-    """Of the trials within max_gap (if none is: of the least overfit one), the best of the simplest family within one standard error of the top."""
-    usable = [t for t in trials if math.isfinite(t.score) and math.isfinite(t.gap)]
-    if not usable:
-        raise ValueError("no model could be trained")
-    calm = [t for t in usable if t.gap <= max_gap] or [min(usable, key=lambda t: t.gap)]
-    top = max(calm, key=lambda t: t.score)
-    return min((t for t in calm if t.score >= top.score - top.error), key=lambda t: (families.index(t.family), -t.score))
+def cv_rows(folds: DataFrame) -> DataFrame:
+    """family, setting, score, error, gap of folds(family, setting, fold, score, train_fit, fit): means over the folds, the score's
+    standard error, and how much better the training side fits."""
+    error = F.stddev_pop("score") / F.sqrt(F.count("score"))
+    return folds.groupBy("family", "setting").agg(F.avg("score").alias("score"), error.alias("error"), F.avg(F.col("train_fit") - F.col("fit")).alias("gap"))
 
 
-def _folded(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int) -> DataFrame:
+def ranked(trials: DataFrame, max_gap: float = 0.05, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """trials(family, setting, score, error, gap) with eligible and chosen, which holds for one row unless none has a finite score and gap.
+
+    Eligible are the trials within max_gap, or where there is none the least overfit one.  Those whose score is within one standard error of the best
+    eligible one compete by the order of families, then score, then setting.
+    """
+    order = F.array_position(F.array(*map(F.lit, families)), F.col("family"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)
+    rows = trials.withColumns({"__usable": finite("score") & finite("gap"), "__at": F.struct(order.alias("order"), (-F.col("score")).alias("score"), F.col("setting").alias("setting"))})
+    one = lambda df: F.broadcast(df)  # noqa: E731  a row each
+    calm = F.col("__usable") & (F.col("gap") <= max_gap)
+    facts = rows.agg(F.count_if(calm).alias("__calm"), F.min(F.when(F.col("__usable"), F.struct("gap", "__at"))).alias("__least"))
+    rows = rows.crossJoin(one(facts)).withColumn("eligible", F.when(F.col("__calm") > 0, calm).otherwise(F.col("__usable") & (F.col("__at") == F.col("__least.__at"))))
+    top = rows.where("eligible").agg((F.max("score") - F.max_by("error", F.struct("score", (-order).alias("o")))).alias("__bar"))
+    rows = rows.crossJoin(one(top))
+    first = rows.where("eligible and score >= __bar").agg(F.min("__at").alias("__first"))
+    return rows.crossJoin(one(first)).withColumn("chosen", F.coalesce(F.col("eligible") & (F.col("__at") == F.col("__first")), F.lit(False))).select(*trials.columns, "eligible", "chosen")
+
+
+def _folded(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int) -> tuple[DataFrame, list[str]]:
+    """The features with __label and __fold, and the classes that __label numbers."""
     roles = {c: role for c, role in plan.roles.items() if c != label}
-    table = apply_plan(df.withColumn("__label", F.col(label).cast("double")), FeaturePlan(roles | {"__label": "numeric"}))
-    return fold_column(table.where("__label is not null"), folds, "__label", task != "regression")
+    classes = [] if task == "regression" else class_order(df, label)
+    number = F.col(label).cast("double") if task == "regression" else F.nullif(F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("string")), F.lit(0)) - 1
+    table = apply_plan(df.withColumn("__label", number.cast("double")), FeaturePlan(roles | {"__label": "numeric"}))
+    return fold_column(table.where("__label is not null"), folds, "__label", task != "regression"), classes
+
+
+@dataclass(frozen=True)
+class Selection:
+    """The chosen trial, its model fitted on all rows, the classes by the numbers that it predicts, and the trials of every setting."""
+
+    trial: Trial
+    model: PipelineModel
+    classes: list[str]
+    trials: list[Trial]
+
+    def predicted(self, df: DataFrame, plan: FeaturePlan, label: str, name: str = "predicted") -> DataFrame:
+        """df's features with the predicted class as text, or the predicted number."""
+        out = self.model.transform(apply_plan(df, FeaturePlan({c: r for c, r in plan.roles.items() if c != label})))
+        value = F.get(F.array(*map(F.lit, self.classes)), F.col("prediction").cast("int")) if self.classes else F.col("prediction")
+        return out.withColumn(name, value)
 
 
-def select_model(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int = 3, families: tuple[str, ...] = FAMILIES, max_gap: float = 0.05) -> tuple[Trial, list[Trial]]:
-    """The chosen trial, with its model fitted on all rows, and the trials of every setting; rows without a label are left out."""
-    wide = _folded(df, plan, label, task, folds)
-    trials, made = [], {}
+def select_model(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int = 3, families: tuple[str, ...] = FAMILIES, max_gap: float = 0.05) -> Selection:
+    """Cross-validates every setting of every family and chooses by ``ranked``; labels may be numbers or texts of any number of classes, and rows without one are left out."""
+    wide, classes = _folded(df, plan, label, task, folds)
+    trials, made = [], []
     for family in families:
-        model = estimator(family, task, "__label")
+        model = estimator(family, task, "__label", len(classes))
         stages, settings = feature_stages(wide.drop("__fold"), "__label", family == "linear"), grid(model, family)
-        found = trials_of(family, stages, model, settings, wide, task, folds)
-        made |= {id(t): (stages, model, s) for t, s in zip(found, settings, strict=True)}
-        trials += found
-    chosen = choose(trials, max_gap, families)
+        trials += trials_of(family, stages, model, settings, wide, task, folds)
+        made += [(stages, model, s) for s in settings]
+    rows = df.sparkSession.createDataFrame([(t.family, i, float(t.score), float(t.error), float(t.gap)) for i, t in enumerate(trials)], "family string, setting int, score double, error double, gap double")
+    at = ranked(rows, max_gap, families).where("chosen").select("setting").first()
+    if at is None:
+        raise ValueError("no setting of any family could be trained")
+    chosen = trials[at.setting]
     if chosen.model is None:
-        stages, model, setting = made[id(chosen)]
-        chosen = replace(chosen, model=Pipeline(stages=[*stages, model]).fit(wide, setting))
-    return chosen, trials
+        stages, model, setting = made[at.setting]
+        chosen = replace(chosen, model=pipeline(stages, model).fit(wide, setting))
+    return Selection(chosen, chosen.model, classes, trials)
 
 
 def overfit_model(df: DataFrame, plan: FeaturePlan, label: str, task: str, folds: int = 3, trees: int = 200) -> Trial:
     """A forest of full trees without bootstrap, with the same evidence as chosen models: what a leakage audit must find."""
-    wide = _folded(df, plan, label, task, folds)
+    wide, _ = _folded(df, plan, label, task, folds)
     model = estimator("forest", task, "__label").setBootstrap(False).setNumTrees(trees).setMaxDepth(30).setFeatureSubsetStrategy("all")
     return trials_of("forest", feature_stages(wide.drop("__fold"), "__label", False), model, [{}], wide, task, folds)[0]
 

@@ -38,14 +38,15 @@ def next_link(log: DataFrame) -> DataFrame:
 
 
 def verify_chain(log: DataFrame, genesis: str = GENESIS) -> DataFrame:
-    """chain, seq, problem: sequence gaps, broken links, changed contents; empty for an intact log."""
+    """chain, seq, problem: a number that is missing before this event, ``link`` (it names another hash than that of the event
+    before it) or ``content`` (its own hash is of other contents); empty for an intact log."""
     w = Window.partitionBy("chain").orderBy("seq")
     seen = log.withColumn("want_seq", F.coalesce(F.lag("seq").over(w) + 1, F.lit(1))).withColumn("want_prev", F.coalesce(F.lag("hash").over(w), F.lit(genesis)))
     digest = F.sha2(F.concat_ws(":", "prev_hash", "body").cast("binary"), 256)
     problems = F.array_compact(F.array(
-        F.when(F.col("seq") != F.col("want_seq"), F.concat(F.lit("expected sequence "), F.col("want_seq"))),
-        F.when(F.col("prev_hash") != F.col("want_prev"), F.lit("does not chain from the previous event")),
-        F.when(digest != F.col("hash"), F.lit("contents changed since it was recorded")),
+        F.when(F.col("seq") != F.col("want_seq"), F.concat(F.lit("sequence "), F.col("want_seq"), F.lit(" missing"))),
+        F.when(F.col("prev_hash") != F.col("want_prev"), F.lit("link")),
+        F.when(digest != F.col("hash"), F.lit("content")),
     ))
     return seen.select("chain", "seq", F.explode(problems).alias("problem"))
 

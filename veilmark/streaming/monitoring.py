@@ -29,7 +29,8 @@ def drift_batches(reference: DataFrame, batches: DataFrame, table: str, checkpoi
 
 
 def throttle(attempts: DataFrame, limit: int = 5, seconds: int = 900) -> DataFrame:
-    """key, at, failures, blocked of attempts(key string, at timestamp, success boolean); state is the recent failures."""
+    """key, at, failures, blocked of attempts(key string, at timestamp, success boolean); state is the failures of the
+    last seconds, each of them, as in the batch form."""
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
@@ -38,7 +39,7 @@ def throttle(attempts: DataFrame, limit: int = 5, seconds: int = 900) -> DataFra
             now = r.at.timestamp()
             recent = [] if r.success else [t for t in [*recent, now] if now - t < seconds]
             out.append((key[0], r.at, len(recent), len(recent) >= limit))
-        state.update((recent[-limit * 4 :],))
+        state.update((recent,))
         yield pd.DataFrame(out, columns=["key", "at", "failures", "blocked"])
 
     return attempts.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, failures long, blocked boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
