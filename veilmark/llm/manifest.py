@@ -59,6 +59,7 @@ def merkle_manifest(spark: SparkSession, rows: DataFrame, group: str, order: str
     """
     p, stage = params, Stage(spark, "manifest")
     named = rows.select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("name"), F.col(order).alias(order), F.col("leaf").alias("hash"), F.col("now").alias("now"))
+    named = stage.table(named, "leaves")  # dealing by ranges reads its input twice: hashes, not texts
     ordered = stage.table(_in_order(named, ["name", order, "hash", "now"]), "ordered")
 
     # the first place of each group's share of each range, and the group's number by name
