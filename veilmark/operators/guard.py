@@ -219,11 +219,11 @@ def guard_chats(chats: DataFrame, policy: GuardPolicy = GuardPolicy(), memorized
     chats = chats.select("chat_id", "request", "completion")
     chats = chats.withColumn("chat", F.sha2(F.to_json(F.struct("chat_id", "request", "completion")).cast("binary"), 256))
     side = lambda name, role, turn: chats.select("chat", F.lit(role).alias("role"), F.lit(turn).alias("turn"), F.posexplode(_pieces(F.col(name))).alias("place", "p"))
-    pieces = side("request", "user", 0).union(side("completion", "assistant", 1 << 40)).select("chat", "role", (F.col("turn") + F.col("place")).alias("turn"), "p.*").distinct()
+    pieces = side("request", "user", 0).union(side("completion", "assistant", 1 << 40)).select("chat", "role", (F.col("turn") + F.col("place")).alias("turn"), "p.*")
     rows = keyed(pieces.withColumnRenamed("chat", "conv_id"))
     done = guard_texts(rows, policy, memorized, key, detectors)
     some = lambda role: F.col("role") == role
-    edits = lambda role: F.collect_list(F.when(some(role), F.struct("path", "shown")))
+    edits = lambda role: F.collect_set(F.when(some(role), F.struct("path", "shown")))
     total = lambda role, c: F.coalesce(F.sum(F.when(some(role), F.col(c))), F.lit(0))
     stop = lambda role: F.coalesce(F.max(F.when(some(role), F.col("blocked"))), F.lit(False))
     by_side = {"request": "user", "completion": "assistant"}
