@@ -542,22 +542,6 @@ def reference_values(s, d):
     return references.references(audit.targets(_records(s, d)), 5).select("id", "pos", F.size("references").alias("n"))
 
 
-@query("entity_audit")
-def entity_audit(s, d):
-    """A whole audit with a stand-in scorer: targets, references, scores, evidence, correction, risk."""
-    corpus = tables.synthetic_corpus(s, 200, 3)
-    known = [r.text for r in corpus.orderBy("id").limit(60).collect()]
-    asked = references.references(audit.targets(corpus), 5, "synthetic")
-    rows = audit.score_texts(references.variants(asked), references.NgramScorer(known))
-    parts = rows.select("id", "pos", "variant", audit.token_parts(F.col("tokens"), F.col("start"), F.col("end")).alias("p"))
-    scored = parts.select("id", "pos", "variant", audit.mean_loss(F.col("p.value")).alias("score"))
-    control = F.max(F.when(F.col("variant") == 1, F.col("score")))
-    wide = scored.groupBy("id", "pos").agg(F.max(F.when(F.col("variant") == 0, F.col("score"))).alias("member"), control.alias("control"))
-    wide = wide.join(asked.select("id", "pos", "entity_type"), ["id", "pos"]).select(F.concat_ws("#", "id", "pos").alias("entity"), "entity_type", F.lit("loss").alias("method"), "member", "control").cache()  # four actions follow
-    found = audit.entity_risk(audit.benjamini_hochberg(audit.gather(wide, ["loss"], "loss")))
-    return audit.severity_counts(found)
-
-
 @query("preprocess")
 def preprocess_query(s, d):
     train, test, _ = preprocess.preprocess(t(s, d, "customer").select("c_nationkey", F.round("c_acctbal").alias("balance"), "c_mktsegment"), "c_mktsegment", 3, width=1000, requested=["c_nationkey", "balance"])
@@ -604,7 +588,7 @@ def model_choice(s, d):
     return ml.ranked(ml.cv_rows(folds), 0.04).select("family", "setting", _r("score"), _r("error"), _r("gap"), "eligible", "chosen")
 
 
-from . import catalog_documents, catalog_guard  # noqa: E402, F401  these register their queries here
+from . import catalog_audit, catalog_documents, catalog_guard  # noqa: E402, F401  these register their queries here
 
 
 def queries() -> dict[str, Query]:

@@ -20,14 +20,18 @@ MIN_K_SHARE, MIN_CONTROLS, MAD_SIGMA, NOT_SIGNIFICANT, MAX_FINDINGS, MIN_TYPE_RO
 METHODS = ["loss", "zlib", "min_k", "recall", "loss_suffix", "reference", "reference_suffix"]
 
 
-def targets(records: DataFrame, types: list[str] | None = None, max_entities: int | None = None) -> DataFrame:
-    """One row for each span with a value: id, pos, entity_type, start, end, prefix, value, suffix."""
+def targets(records: DataFrame, types: list[str] | None = None, max_entities: int | None = None, context: int | None = None) -> DataFrame:
+    """One row for each span with a value: id, pos, entity_type, start, end, prefix, value, suffix.
+
+    context: how many characters a scorer sees on either side, so no whole text travels with each span; None: all."""
     rows = records.select("id", "text", F.posexplode("entities").alias("pos", "e")).select("id", "text", "pos", "e.*")
     if types:
         rows = rows.where(F.col("entity_type").isin(types))
     cut = lambda a, n: F.substring(F.col("text"), a, n)
     rows = rows.select("id", "pos", "entity_type", "start", "end", cut(F.lit(1), F.col("start")).alias("prefix"), cut(F.col("start") + 1, F.col("end") - F.col("start")).alias("value"), cut(F.col("end") + 1, F.length("text")).alias("suffix"))
     rows = rows.where(F.trim("value") != "")
+    if context is not None:
+        rows = rows.withColumn("prefix", F.right("prefix", F.lit(context))).withColumn("suffix", F.left("suffix", F.lit(context)))
     return rows.orderBy(F.xxhash64("id", "pos"), "id", "pos").limit(max_entities) if max_entities else rows
 
 
@@ -121,31 +125,53 @@ def normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 1.0 if v is None or not math.isfinite(v) else sig.normal_sf(v))
 
 
+def _grams(padded: Column, order: int) -> Column:
+    """All runs of order code points of a text, in one linear pass."""
+    return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order}}}))."), F.lit(1))
+
+
 def gram_counts(records: DataFrame, order: int = 4) -> DataFrame:
     """context, next, n: how often a character follows the order - 1 before it, over the whole texts of all records (null: none)."""
-    padded = F.split(F.concat(F.lit(" " * (order - 1)), "text"), "")
-    grams = F.transform(F.sequence(F.lit(1), F.size("chars") - order + 1), lambda i: F.struct(F.array_join(F.slice("chars", i, order - 1), "").alias("context"), F.get("chars", i + order - 2).alias("next")))
-    return records.where("text is not null and text <> ''").select(padded.alias("chars")).select(F.explode(grams).alias("g")).groupBy("g.context", "g.next").agg(F.count("*").alias("n"))
+    grams = records.where("text is not null").select(F.explode(_grams(F.concat(F.lit(" " * (order - 1)), "text"), order)).alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    return counts.select(F.left("g", F.lit(order - 1)).alias("context"), F.substring("g", order, 1).alias("next"), "n")
 
 
 def gram_losses(rows: DataFrame, counts: DataFrame, order: int = 4, add: float = 0.1, alphabet: int = 256) -> DataFrame:
-    """id, pos, variant, loss: the mean negative log-probability of the characters of each span, given those before them.
+    """id, pos, variant, loss, size: the mean negative log-probability of the characters of each span, given those before
+    them, and their number.
 
     rows have text and start, end of a span; only the span's own grams meet the counts, whatever the length of the text.
-    An empty span has no row.
+    Each different gram is looked up once. An empty span has no row.
     """
-    chars = F.split(F.concat(F.lit(" " * (order - 1)), F.substring("text", F.greatest(F.col("start") - order + 2, F.lit(1)), F.col("end") - F.greatest(F.col("start") - order + 1, F.lit(0)))), "")
-    span = F.slice("chars", F.greatest(F.lit(1), F.size("chars") - (F.col("end") - F.col("start")) - order + 2), F.col("end") - F.col("start") + order - 1)
-    at = F.sequence(F.lit(1), F.col("end") - F.col("start"))
-    grams = F.transform(at, lambda i: F.struct(F.array_join(F.slice("chars", i, order - 1), "").alias("context"), F.get("chars", i + order - 2).alias("next")))
-    own = rows.where("end > start").select("id", "pos", "variant", "start", "end", chars.alias("chars")).withColumn("chars", span).select("id", "pos", "variant", F.explode(grams).alias("g")).select("id", "pos", "variant", "g.*")
-    # each gram of the spans is looked up once
-    wanted = own.groupBy("context", "next").agg(F.count("*").alias("times"))
+    span = F.substring(F.concat(F.lit(" " * (order - 1)), "text"), F.col("start") + 1, F.col("end") - F.col("start") + order - 1)
+    own = rows.where("end > start").select("id", "pos", "variant", F.explode(_grams(span, order)).alias("g"))
     totals = counts.groupBy("context").agg(F.sum("n").alias("whole"))
+    wanted = own.select("g").distinct().select("g", F.left("g", F.lit(order - 1)).alias("context"), F.substring("g", order, 1).alias("next"))
     known = wanted.join(counts, ["context", "next"], "left").join(totals, "context", "left")
     zero = F.lit(0)
     loss = -F.log((F.coalesce("n", zero) + add) / (F.coalesce("whole", zero) + add * alphabet))
-    return own.join(known.select("context", "next", loss.alias("l")), ["context", "next"]).groupBy("id", "pos", "variant").agg(F.avg("l").alias("loss"))
+    return own.join(known.select("g", loss.alias("l")), "g").groupBy("id", "pos", "variant").agg(F.avg("l").alias("loss"), F.count("*").alias("size"))
+
+
+def evidence(losses: DataFrame, targets: DataFrame) -> DataFrame:
+    """entity, entity_type, method, member, control from gram_losses of variants: by mean loss, and by the total against
+    the mean probability of the references. Reference 1 is the control, judged against those after it.
+
+    A span without a reference has no control and gives no row; with one, it has no row of the second method.
+    """
+    score = F.struct(F.col("variant"), (-F.col("loss")).alias("mean"), (-F.col("loss") * F.col("size")).alias("total"))
+    rows = losses.groupBy("id", "pos").agg(F.array_sort(F.collect_list(score)).alias("v"))  # a value and its few references
+    rows = rows.where((F.size("v") > 1) & (F.col("v")[0]["variant"] == 0) & (F.col("v")[1]["variant"] == 1))
+    rest = F.transform(F.slice("v", 3, F.greatest(F.size("v") - 2, F.lit(0))), lambda x: x["total"])
+    against = lambda i: F.when(F.size(rest) > 0, F.col("v")[i]["total"] - log_mean_exp(rest))
+    both = F.array(
+        F.struct(F.lit("loss").alias("method"), F.col("v")[0]["mean"].alias("member"), F.col("v")[1]["mean"].alias("control")),
+        F.struct(F.lit("reference").alias("method"), against(0).alias("member"), against(1).alias("control")),
+    )
+    out = rows.select("id", "pos", F.inline(both)).where("member is not null")
+    kinds = targets.select("id", "pos", "entity_type")
+    return out.join(kinds, ["id", "pos"]).select(F.concat_ws("#", "id", "pos").alias("entity"), "entity_type", "method", "member", "control")
 
 
 def attack_strength(scores: DataFrame) -> DataFrame:

@@ -76,6 +76,12 @@ def two_sample(reference: DataFrame, batch: DataFrame, column: str) -> DataFrame
     return out.select("n", "m", "ks", (F.col("ranks") - n * (n + 1) / 2).alias("u"), cvm.alias("cvm"), "tie_sum")
 
 
+def p_values(row) -> list[float]:
+    """Of a row of two_sample: Kolmogorov-Smirnov, Mann-Whitney, Cramér-von Mises; exact laws for small samples."""
+    n, m = int(row.n), int(row.m)
+    return [sig.kolmogorov_p(row.ks, n, m), sig.mann_whitney_two_sided(row.u, n, m, row.tie_sum), sig.cramer_von_mises_two_sided(row.cvm, n, m)]
+
+
 def chi_square(reference: DataFrame, batch: DataFrame, column: str) -> DataFrame:
     """One row: chi2 (Yates-corrected at one degree of freedom) and dof of homogeneity over the categories."""
     counts = value_counts(tagged(reference, batch, column))
@@ -152,7 +158,7 @@ def check_drift(reference: DataFrame, batch: DataFrame, features: list[str] | No
         if ref.isEmpty() or cur.isEmpty():
             continue
         x = two_sample(ref, cur, c).first()
-        ps = [sig.kolmogorov_sf(x.ks, x.n, x.m), sig.mann_whitney_p(x.u, x.n, x.m, x.tie_sum), sig.cramer_von_mises_p(x.cvm, x.n, x.m)]
+        ps = p_values(x)
         rows.append((c, role, float(psi_numeric(ref, cur, c).first().psi), ps, 0))
     level = alpha / max(1, len(rows))
     out = [(c, role, value, sum(p < level for p in ps), len(ps), 2 * sum(p < level for p in ps) > len(ps) and value >= psi_limit, unseen) for c, role, value, ps, unseen in rows]

@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import shape
+from ..functions.grammars import generated
+from ..functions.patterns import shape, similar
 from .text import surrogate
 
 
@@ -16,21 +17,31 @@ CELL = ["entity_type", "n", "like"]
 
 
 def _drawn(kind: Column, value: Column, n: int, seed: int) -> Column:
-    drawn = F.array(*[surrogate(kind, value, seed * 1000 + i) for i in range(1, 3 * n + 1)])
-    return F.array_distinct(F.filter(drawn, lambda x: x != value))
+    """array<struct<rank, i, v>>: 8 n draws of the type's grammar, those like the value first, then n that keep its shape."""
+    draw = lambda i: F.lit(seed * 1000) + i
+    ours = F.transform(F.sequence(F.lit(1), F.lit(8 * n)), lambda i: F.struct(i.alias("i"), generated(kind, value, draw(i)).alias("v")))
+    ours = F.transform(ours, lambda x: F.struct(F.when(similar(value, x["v"]), 0).otherwise(1).alias("rank"), x["i"].alias("i"), x["v"].alias("v")))
+    # types without a grammar have nothing but their shape
+    shaped = F.transform(F.sequence(F.lit(1), F.lit(3 * n)), lambda i: F.struct(F.lit(2).alias("rank"), i.alias("i"), surrogate(kind, value, draw(i)).alias("v")))
+    return F.filter(F.concat(ours, shaped), lambda x: x["v"].isNotNull() & (x["v"] != value))
+
+
+def _first(rows: Column, n: int) -> Column:
+    return F.slice(F.array_distinct(F.transform(F.array_sort(rows), lambda x: x["v"])), 1, n)
 
 
 def perturbed(kind: Column, value: Column, n: int, seed: int = 0) -> Column:
     """Up to n distinct values of the value's shape, none of them the value."""
-    return F.slice(_drawn(kind, value, n, seed), 1, n)
+    return _first(F.filter(_drawn(kind, value, n, seed), lambda x: x["rank"] == 2), n)
 
 
 def outside_corpus(targets: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """entity_type, value, made: up to n values of the value's shape that are no value of the corpus."""
+    """entity_type, value, made: up to n values that are no value of the corpus: of the type's grammar and like the value,
+    then of the grammar, then of the value's shape."""
     asked = targets.select("entity_type", "value").distinct()
-    rows = asked.select("entity_type", "value", F.posexplode(_drawn(F.col("entity_type"), F.col("value"), n, seed)).alias("i", "v"))
-    free = rows.join(targets.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
-    return free.groupBy("entity_type", "value").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("i", "v"))), 1, n), lambda x: x["v"]).alias("made"))
+    rows = asked.select("entity_type", "value", F.explode(_drawn(F.col("entity_type"), F.col("value"), n, seed)).alias("x"))
+    free = rows.withColumn("v", F.col("x.v")).join(targets.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
+    return free.groupBy("entity_type", "value").agg(_first(F.collect_list("x"), n).alias("made"))
 
 
 def _case(x: Column) -> Column:

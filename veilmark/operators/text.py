@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import patterns as P
+from ..functions.grammars import key_of
 from .detectors import SPANS, Detector, spans
 
 
@@ -36,9 +37,9 @@ def fingerprint(key: bytes) -> Callable[[Column, Column], Column]:
 
 
 # --- sanitising -----------------------------------------------------------------------------------
-def surrogate(kind: Column, value: Column, seed: int = 0) -> Column:
+def surrogate(kind: Column, value: Column, seed: Column | int = 0) -> Column:
     """A value of the same shape that depends on (seed, type, value) alone, so it is the same everywhere."""
-    digest = F.sha2(F.concat_ws("\u0001", F.lit(str(seed)), kind, value).cast("binary"), 256)
+    digest = F.sha2(key_of(kind, value, seed).cast("binary"), 256)
     digit = lambda i: F.conv(F.substring(digest, F.pmod(i * 2, F.lit(60)) + 1, 2), 16, 10).cast("int")
 
     def one(c: Column, i: Column) -> Column:
@@ -49,37 +50,50 @@ def surrogate(kind: Column, value: Column, seed: int = 0) -> Column:
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
 
 
-def sanitize(records: DataFrame, strategy: str = "surrogate", types: list[str] | None = None, seed: int = 0) -> DataFrame:
-    """records(id, text, entities) with spans replaced left to right (surrogate or mask), or records with any dropped."""
-    wanted = F.filter("entities", lambda e: e["entity_type"].isin(types)) if types else F.col("entities")
-    rows = records.withColumn("__wanted", F.array_sort(F.transform(wanted, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["entity_type"].alias("entity_type")))))
+def sanitize(records: DataFrame, strategy: str = "surrogate", types: list[str] | None = None, seed: int = 0, chosen: str | None = None, make: Callable[..., Column] | None = None) -> DataFrame:
+    """records(id, text, entities) with spans replaced left to right (surrogate or mask), or records with any dropped.
+
+    types limits the spans by type, chosen to those that a column array<struct<start, end>> lists (null: none); all other
+    spans stay and move along. make(type, value, seed) gives other surrogates; where it gives null, the shape decides.
+    """
+    hit = lambda e: (e["entity_type"].isin(types) if types else F.lit(True)) & (F.exists(F.coalesce(F.col(chosen), F.array().cast("array<struct<start:int,end:int>>")), lambda c: (c["start"] == e["start"]) & (c["end"] == e["end"])) if chosen else F.lit(True))
+    spans_ = F.array_sort(F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["entity_type"].alias("entity_type"), hit(e).alias("hit"))))
+    rows = records.withColumn("__spans", spans_).withColumn("__any", F.exists("__spans", lambda e: e["hit"]))
     if strategy == "drop":
-        return rows.where(F.size("__wanted") == 0).drop("__wanted")
+        return rows.where("not coalesce(__any, false)").drop("__spans", "__any")
     cut = lambda a, n: F.substring(F.col("text"), a, n)
 
     def replaced(e: Column) -> Column:
         value = cut(e["start"] + 1, e["end"] - e["start"])
-        return surrogate(e["entity_type"], value, seed) if strategy == "surrogate" else F.concat(F.lit("["), e["entity_type"], F.lit("]"))
+        if strategy == "mask":
+            return F.when(e["hit"], F.concat(F.lit("["), e["entity_type"], F.lit("]"))).otherwise(value)
+        new = surrogate(e["entity_type"], value, seed)
+        return F.when(e["hit"], F.coalesce(make(e["entity_type"], value, seed), new) if make else new).otherwise(value)
 
+    named = rows.withColumn("__new", F.transform("__spans", lambda e: F.struct(e.alias("e"), replaced(e).alias("new"))))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array().cast(SPANS).alias("spans"))
 
-    def step(acc: Column, e: Column) -> Column:
-        new = replaced(e)
-        out = F.concat(acc["out"], cut(acc["at"] + 1, e["start"] - acc["at"]), new)
-        one = F.struct((F.length(out) - F.length(new)).alias("start"), F.length(out).alias("end"), e["entity_type"].alias("entity_type"))
+    def step(acc: Column, x: Column) -> Column:
+        e = x["e"]
+        out = F.concat(acc["out"], cut(acc["at"] + 1, e["start"] - acc["at"]), x["new"])
+        one = F.struct((F.length(out) - F.length(x["new"])).alias("start"), F.length(out).alias("end"), e["entity_type"].alias("entity_type"))
         return F.struct(e["end"].alias("at"), out.alias("out"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    done = rows.withColumn("__done", F.aggregate("__wanted", zero, step))
+    done = named.withColumn("__done", F.aggregate("__new", zero, step))
     text = F.concat(F.col("__done.out"), cut(F.col("__done.at") + 1, F.length("text")))
-    kept = F.col("__done.spans") if strategy == "surrogate" else F.array().cast(SPANS)
-    return done.withColumn("text", F.when(F.size("__wanted") > 0, text).otherwise(F.col("text"))).withColumn("entities", kept).drop("__wanted", "__done")
+    out = done.withColumn("text", F.when(F.col("__any"), text).otherwise(F.col("text"))).withColumn("entities", F.when(F.col("__any"), F.col("__done.spans")).otherwise(F.col("entities")))
+    return out.drop("__spans", "__any", "__new", "__done")
 
 
-def translate(wanted: DataFrame, raw: DataFrame, train: DataFrame) -> DataFrame:
+def translate(wanted: DataFrame, raw: DataFrame, train: DataFrame, only_original: bool = False) -> DataFrame:
     """Spans of the training copy at the places (id, ordinal) of wanted spans (id, start, end) of the raw copy;
-    records whose span counts differ are skipped."""
-    at = lambda df, name: df.select("id", F.size("entities").alias(f"n_{name}"), F.posexplode("entities").alias("pos", name))
+    records whose span counts differ are skipped, and with only_original values that were replaced before."""
+    value = lambda e: F.substring("text", e["start"] + 1, e["end"] - e["start"])
+    held = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), value(e).alias("value")))
+    at = lambda df, name: df.select("id", F.size("entities").alias(f"n_{name}"), F.posexplode(held).alias("pos", name))
     both = at(raw, "r").join(at(train, "t"), ["id", "pos"]).where("n_r = n_t")
+    if only_original:
+        both = both.where("r.value <=> t.value")
     both = both.select("id", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("t.start").alias("train_start"), F.col("t.end").alias("train_end"))
     return both.join(wanted.select("id", "start", "end").distinct(), ["id", "start", "end"], "left_semi")
 
