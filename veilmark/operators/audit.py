@@ -146,11 +146,12 @@ def gram_losses(rows: DataFrame, counts: DataFrame, order: int = 4, add: float =
     """
     span = F.substring(F.concat(F.lit(" " * (order - 1)), "text"), F.col("start") + 1, F.col("end") - F.col("start") + order - 1)
     own = rows.where("end > start").select("id", "pos", "variant", F.explode(_grams(span, order)).alias("g"))
-    totals = counts.groupBy("context").agg(F.sum("n").alias("whole"))
+    # all that follows a context in one row, no more than characters there are; so the corpus is counted once
+    contexts = counts.groupBy("context").agg(F.sum("n").alias("whole"), F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("by_next"))
     wanted = own.select("g").distinct().select("g", F.left("g", F.lit(order - 1)).alias("context"), F.substring("g", order, 1).alias("next"))
-    known = wanted.join(counts, ["context", "next"], "left").join(totals, "context", "left")
+    known = wanted.join(contexts, "context", "left")
     zero = F.lit(0)
-    loss = -F.log((F.coalesce("n", zero) + add) / (F.coalesce("whole", zero) + add * alphabet))
+    loss = -F.log((F.coalesce(F.try_element_at("by_next", "next"), zero) + add) / (F.coalesce("whole", zero) + add * alphabet))
     return own.join(known.select("g", loss.alias("l")), "g").groupBy("id", "pos", "variant").agg(F.avg("l").alias("loss"), F.count("*").alias("size"))
 
 
