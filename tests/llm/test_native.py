@@ -127,6 +127,18 @@ def test_decision_list_learns_and_keeps_clean(spark):
     assert Stage(spark, "x").folder
 
 
+def test_decision_list_is_the_same_for_any_partitions(spark):
+    values = [((i * 7919) % 4001) / 3.0 + 0.01 for i in range(6000)]
+    rows = spark.createDataFrame([(x, int(x > 900)) for x in values], "x double, low int").select("low", *[F.col("x").alias(f) for f in quality.FEATURES])
+    edges = [quality._edges(rows.repartition(n, F.rand(n)), 24) for n in (1, 7, 40)]
+    assert edges[0] == edges[1] == edges[2]
+    groups = {}
+    for x in sorted(values):
+        groups.setdefault(f"{x:.2e}", x)
+    assert edges[0]["q_n_words"] == sorted({groups[f"{sorted(values)[-(-i * 6000 // 24) - 1]:.2e}"] for i in range(1, 24)})
+    assert quality._edges(rows.limit(0), 24) == {f: [] for f in quality.FEATURES}
+
+
 def test_urls(spark):
     urls = ["https://a.example.com/en/7?x=1", "http://EXAMPLE.com/en/71", "http://com/en/", "https://b.net/de/8", "https://example.net/de/8#z", "http://x.org/es/1", "http://x.org/en/1", "no scheme", None, "", "://", "http://notcom/en/1", "http://a.com?x=/en/", "http://a.com#/en/", "ftp://h\n.com/en/q", "a://b://c.com/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
