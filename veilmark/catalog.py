@@ -588,7 +588,7 @@ def model_choice(s, d):
     return ml.ranked(ml.cv_rows(folds), 0.04).select("family", "setting", _r("score"), _r("error"), _r("gap"), "eligible", "chosen")
 
 
-from . import catalog_audit, catalog_documents, catalog_guard  # noqa: E402, F401  these register their queries here
+from . import catalog_artifacts, catalog_audit, catalog_documents, catalog_guard  # noqa: E402, F401  these register their queries here
 
 
 def queries() -> dict[str, Query]:
