@@ -1,9 +1,14 @@
+import collections
 import datetime
+import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilmark.operators import anonymize, profile, reid
+from veilmark.plans.running import quantiles
 from veilmark.sources import tables
 
 
@@ -57,6 +62,89 @@ def test_fit_reaches_k(spark, label):
     assert reid.k_anonymity(reid.suppress_small_groups(out, ["age", "gender", "marital"], 10), ["age", "gender", "marital"]).first()[0] >= 10
 
 
+def _fit_by_brute_force(rows, columns, k, share, label):
+    """The greedy fit over all rows with every label computed anew, in plain Python."""
+    n, values = len(rows), {c: [r[c] for r in rows] for c in columns}
+
+    def range_rule(c, w):
+        known = sorted(v for v in values[c] if v is not None)
+        q = [float(np.quantile(known, p)) for p in (0.05, 0.95)]
+        low, high = (math.floor(x / w + 1e-9) * w for x in q)
+        return ("range", w, low, max(high, low + w))
+
+    def show(v, rule):
+        if rule is None:
+            return v if v is None else str(v)
+        if rule[0] == "range":
+            _, w, low, high = rule
+            return None if v is None else min(max(math.floor(v / w) * w, low), high)
+        if rule[0] == "pool":
+            return None if v is None else v if v in rule[1] else "other"
+        return "*"
+
+    def ladder(c, rule):
+        if rule is None:
+            common = [v for v, _ in sorted(collections.Counter(v for v in values[c] if v is not None).items(), key=lambda x: (-x[1], x[0]))]
+            return [("pool", common[:m]) for m in range(len(common) - 1, 1, -1)] + [("suppress",)]
+        out = []
+        while rule[3] > rule[2] + rule[1]:
+            rule = range_rule(c, rule[1] * 2)
+            out.append(rule)
+        return [*out, ("suppress",)]
+
+    def risk(rules):
+        keys = collections.Counter(tuple(show(r[c], rules[c]) for c in columns) for r in rows)
+        return sum(m for m in keys.values() if m < k)
+
+    def told(c, rule):
+        x = [show(v, rule) for v in values[c]]
+        y = [r[label] for r in rows] if label else x
+        h = lambda z: -sum(m / n * math.log(m / n) for m in collections.Counter(z).values())
+        return h(x) + h(y) - h(zip(x, y, strict=True))
+
+    rules = {c: range_rule(c, 10) if isinstance(rows[0][c], int) else None for c in columns}
+    open_ = {c: ladder(c, rules[c]) for c in columns}
+    while risk(rules) > share * n and any(open_.values()):
+        choices = []
+        for c in columns:
+            for i, rule in enumerate(open_[c]):
+                loss = max(told(c, rules[c]) - told(c, rule), 0.0)
+                choices.append(((risk(rules) - risk({**rules, c: rule})) / (loss + 1e-3), -loss, -columns.index(c), -i))
+        _, _, place, number = max(choices)
+        c = columns[-place]
+        rules[c], open_[c] = open_[c][-number], open_[c][1 - number :]
+    return rules
+
+
+@pytest.mark.parametrize("label", [None, "income"])
+def test_fit_is_the_greedy_one(spark, label):
+    made = random.Random(5)
+    rows = [{"age": made.choice([None, *range(18, 90)]) if i else 40, "hours": int(made.gauss(40, 12)), "job": made.choice("aabbbcdddddefghh"), "income": made.choice(["x", "y"])} for i in range(700)]
+    for r in rows:
+        r["income"] = "z" if (r["age"] or 0) > 60 and made.random() < 0.7 else r["income"]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "age long, hours long, job string, income string")
+    columns = ["age", "hours", "job"]
+    got = anonymize.fit_generalization(df, columns, 10, 6, 0.02, label)
+    want = _fit_by_brute_force(rows, columns, 6, 0.02, label)
+    plain = lambda r: None if r is None else ("range", r["width"], r["low"], r["high"]) if r["kind"] == "range" else ("pool", sorted(r["keep"])) if r["kind"] == "pool" else ("suppress",)
+    assert {c: plain(got.get(c)) for c in columns} == {c: ("pool", sorted(r[1])) if r and r[0] == "pool" else r for c, r in want.items()}
+
+
+def test_quantiles(spark):
+    made = random.Random(3)
+    for values in ([made.gauss(0, 1) for _ in range(501)], [1.0] * 7, [made.randrange(5) * 1.0 for _ in range(100)], [4.0], []):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+        levels = [0.0, 0.05, 0.5, 0.77, 1.0]
+        assert quantiles(df, F.col("x"), levels) == (df.agg(F.percentile("x", levels)).first()[0] or [])
+
+
+def test_merged_counts_shrink_and_keep_every_label(spark):
+    df = spark.range(5000).select((F.col("id") * 37 % 1000).alias("x"), (F.col("id") % 3).cast("string").alias("y"))
+    rules, options, counted, total = anonymize._prepared(df, ["x"], 10, "y")
+    merged = anonymize._merged(counted, rules, options, ["x"])
+    assert merged.count() <= 3 * 101 < counted.count() and merged.agg(F.sum("__n")).first()[0] == total == 5000
+
+
 def test_information(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "y")] * 10, "p string, q string")
     assert abs(anonymize.information(df, "p", "q").first()[0] - 0.693147) < 1e-5

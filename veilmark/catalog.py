@@ -125,6 +125,21 @@ def fit_generalization(s, d):
     return reid.at_risk(anonymize.apply_generalization(df, rules), ["balance", "c_nationkey"], 5)
 
 
+@query("generalization_trials", """
+WITH o AS (SELECT strftime(o_orderdate, '%Y%m%d') AS day, o_orderpriority AS pri, o_orderstatus AS y FROM orders),
+ r AS (SELECT pri, row_number() OVER (ORDER BY count(*) DESC, pri) AS r FROM o GROUP BY 1),
+ e AS (SELECT 'day' AS c, i, CASE WHEN i < 6 THEN 'prefix' ELSE 'suppress' END AS kind, CASE WHEN i < 6 THEN left(day, (6 - i)::INT) ELSE '*' END AS x, pri AS rest, y FROM o, range(0, 7) t(i)
+  UNION ALL SELECT 'pri', i, CASE i WHEN 0 THEN 'none' WHEN 4 THEN 'suppress' ELSE 'pool' END, CASE WHEN i = 4 THEN '*' WHEN r.r <= 5 - i THEN pri ELSE 'other' END, left(day, 6), y FROM o JOIN r USING (pri), range(0, 5) t(i)),
+ k AS (SELECT c, i, kind, sum(CASE WHEN n < 25 THEN n ELSE 0 END)::BIGINT AS at_risk FROM (SELECT c, i, kind, x, rest, count(*) n FROM e GROUP BY ALL) GROUP BY ALL),
+ j AS (SELECT c, i, x, y, count(*) n FROM e GROUP BY ALL),
+ m AS (SELECT *, sum(n) OVER (PARTITION BY c, i, x) nx, sum(n) OVER (PARTITION BY c, i, y) ny, sum(n) OVER (PARTITION BY c, i) t FROM j)
+SELECT c AS "column", kind, i::INTEGER AS number, at_risk, round(sum(n / t * ln(n * t / (nx * ny))), 6) + 0.0 AS information FROM k JOIN m USING (c, i) GROUP BY ALL""")
+def generalization_trials(s, d):
+    """What each coarser rule for an order's day or priority would leave at risk and still tell about its status."""
+    df = t(s, d, "orders").select(F.date_format("o_orderdate", "yyyyMMdd").alias("day"), F.col("o_orderpriority").alias("pri"), "o_orderstatus")
+    return anonymize.first_trials(df, ["day", "pri"], 10, 25, "o_orderstatus").withColumn("information", F.round("information", 6) + 0.0)
+
+
 @query("mutual_information", """WITH j AS (SELECT l_returnflag x, l_linestatus y, count(*) n FROM lineitem GROUP BY 1, 2), a AS (SELECT x, sum(n) nx FROM j GROUP BY x), b AS (SELECT y, sum(n) ny FROM j GROUP BY y), c AS (SELECT sum(n) t FROM j)
 SELECT round(sum(n / t * ln(n * t / (nx * ny))), 6) AS information FROM j JOIN a USING (x) JOIN b USING (y), c""")
 def mutual_information(s, d):

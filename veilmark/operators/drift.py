@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import significance as sig
-from ..plans.running import running_totals
+from ..plans.running import quantiles, running_totals
 from . import profile
 
 # Fixed values.
@@ -33,8 +33,7 @@ def psi(counts: DataFrame) -> DataFrame:
 
 def psi_numeric(reference: DataFrame, batch: DataFrame, column: str, bins: int = PSI_BINS) -> DataFrame:
     """One row: psi over the reference's quantile bins (repeated edges once, outer bins open)."""
-    q = reference.agg(F.percentile(F.col(f"`{column}`").cast("double"), [i / bins for i in range(bins + 1)]).alias("q")).first()["q"] or []
-    edges = sorted({e for e in q if e is not None})
+    edges = sorted(set(quantiles(reference, F.col(f"`{column}`"), [i / bins for i in range(bins + 1)])))
     if len(edges) < 2:
         return reference.sparkSession.sql("SELECT 0.0D AS psi")
     inner = F.array(*[F.lit(e) for e in edges[1:-1]]).cast("array<double>")

@@ -6,6 +6,8 @@ before it are added.  The result doesn't depend on how good the quantiles are, o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,5 +28,25 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, str], descending
     return out.select(*[c for c in df.columns if c != "__part"], *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in totals])
 
 
+def quantiles(df: DataFrame, x: Column, levels: list[float]) -> list[float]:
+    """Exact quantiles of the numbers that are not null, interpolated between neighbours; empty without any.
+
+    Distinct values are counted and ranked in ranges, so no task holds all of them as an aggregate over a whole column would.
+    """
+    counts = df.select(x.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    ranked = running_totals(counts, "x", {"upto": "n"}).persist()
+    try:
+        size = ranked.agg(F.max("upto")).first()[0]
+        if not size:
+            return []
+        places = [level * (size - 1) for level in levels]
+        ends = sorted({int(p) for p in places} | {math.ceil(p) for p in places})
+        row = ranked.agg(*[F.min(F.when(F.col("upto") > r, F.col("x"))).alias(f"r{r}") for r in ends]).first()
+    finally:
+        ranked.unpersist()
+    at = lambda p: (row[f"r{int(p)}"], row[f"r{math.ceil(p)}"])
+    return [low if low == high else (math.ceil(p) - p) * low + (p - int(p)) * high for p, (low, high) in ((p, at(p)) for p in places)]
+
+
 def half_up(x: Column, digits: int) -> Column:
     return F.round(x, digits)
