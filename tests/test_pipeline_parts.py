@@ -72,6 +72,9 @@ def test_documents():
     assert documents.bump_minor("1.4.2") == "1.5.0" and documents.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'.encode()
     assert documents.signing_payload({"x": 1, "identity": {"key": "k", "signature": "s"}, "events": [1]}) == b'{"identity":{"key":"k","signature":null},"x":1}'
     assert documents.parse_overrides(["a.b=1", "a.c=x"]) == {"a": {"b": 1, "c": "x"}}
+    typed = {"yes": True, "Off": False, "oN": "oN", "~": None, "": None, "1_000": 1000, "010": 8, "0x1F": 31, "-0b11": -3, "1e3": "1e3", "1.5e+3": 1500.0, ".5": 0.5, "-.inf": float("-inf"), "NaN": "NaN", "[1, 2]": [1, 2], "[1": "[1", "'it''s'": "it's", '"a\\n"': "a\n", "2024-01": "2024-01"}
+    assert {k: documents.scalar(k) for k in typed} == typed and documents.scalar(".nan") != documents.scalar(".nan")
+    assert documents.flatten({"a": {"b": "x" * 7000, "c": 1}}) == {"a.b": "x" * 6000, "a.c": "1"}
     assert '"a" -> "b"' in documents.lineage_dot([("a", "b", "upstream")], {})
     assert documents.to_jsonld("d", [{"name": "s", "inputs": ["i"], "outputs": ["o"]}], ["u"])["@graph"][2]["prov:wasGeneratedBy"] == "d#stage-s"
 

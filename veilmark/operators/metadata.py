@@ -84,8 +84,8 @@ def next_states(allowed: DataFrame, state: str) -> DataFrame:
     return allowed.where(F.col("from_state") == state).select("to_state").distinct().orderBy("to_state")
 
 
-def first_severity(vulnerabilities: DataFrame, severities: DataFrame, order: str = "severity") -> DataFrame:
-    """Vulnerabilities with a severity where one is known; of an id's severities the first in the given order wins."""
+def first_severity(vulnerabilities: DataFrame, severities: DataFrame, order: str) -> DataFrame:
+    """Vulnerabilities with a severity where one is known; of an id's severities the first by the order column wins."""
     first = severities.groupBy("id").agg(F.min_by(F.struct(*severities.columns), order).alias("s")).select("s.*")
     return vulnerabilities.join(first, "id", "left")
 

@@ -27,14 +27,16 @@ def scan(df: DataFrame, dataset: str, sample_rows: int | None = SAMPLE_ROWS, as_
     if sample_rows:
         text = text.withColumn("o", F.xxhash64(*text.columns)).orderBy("o").limit(sample_rows).drop("o")
     named = [P.entity_of_name(c) for c in columns]
-    stats = []
+    stats, hits = [], []
     for i, name in enumerate(named):
         x = F.when(F.trim(f"c{i}") != "", F.col(f"c{i}"))
         stats += [F.count(x).alias(f"n{i}"), F.avg(x.rlike(r"(?U)\s").cast("int")).alias(f"w{i}")]
         for entity in P.FINDERS:
-            hits = _finder(entity, name, as_of)(x)
-            stats += [F.count_if(F.size(hits) > 0).alias(f"h{i}_{entity}"), F.min(F.when(F.size(hits) > 0, P.masked(F.get(hits, F.lit(0)), entity))).alias(f"a{i}_{entity}"), F.max(F.when(F.size(hits) > 0, P.masked(F.get(hits, F.lit(0)), entity))).alias(f"b{i}_{entity}")]
-    row = text.agg(*stats).first()
+            key = f"{i}_{entity}"
+            hits.append(_finder(entity, name, as_of)(x).alias(f"hits{key}"))
+            masked = F.when(F.size(f"hits{key}") > 0, P.masked(F.get(f"hits{key}", F.lit(0)), entity))
+            stats += [F.count_if(F.size(f"hits{key}") > 0).alias(f"h{key}"), F.min(masked).alias(f"a{key}"), F.max(masked).alias(f"b{key}")]
+    row = text.select("*", *hits).agg(*stats).first()  # hits are bound before they are counted
     out = []
     for i, c in enumerate(columns):
         n, name = row[f"n{i}"], named[i]
@@ -56,8 +58,10 @@ def scan(df: DataFrame, dataset: str, sample_rows: int | None = SAMPLE_ROWS, as_
 def value_hits(df: DataFrame, column: str, entities: list[str] | None = None, as_of: Column | None = None) -> DataFrame:
     """entity, rows_hit, values_hit of one text column, over all rows."""
     x = F.col(f"`{column}`")
-    stats = [F.struct(F.lit(e).alias("entity"), F.count_if(F.size(_finder(e, None, as_of)(x)) > 0).alias("rows_hit"), F.coalesce(F.sum(F.greatest(F.size(_finder(e, None, as_of)(x)), F.lit(0))), F.lit(0)).cast("long").alias("values_hit")) for e in entities or P.FINDERS]
-    return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
+    kinds = list(entities or P.FINDERS)
+    found = df.select(*[F.greatest(F.size(_finder(e, None, as_of)(x)), F.lit(0)).alias(f"n{i}") for i, e in enumerate(kinds)])  # each text is searched once
+    stats = [F.struct(F.lit(e).alias("entity"), F.count_if(F.col(f"n{i}") > 0).alias("rows_hit"), F.coalesce(F.sum(f"n{i}"), F.lit(0)).cast("long").alias("values_hit")) for i, e in enumerate(kinds)]
+    return found.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
 def first_examples(df: DataFrame, column: str, entity: str, order: str, n: int = EXAMPLES) -> DataFrame:
