@@ -144,3 +144,12 @@ def test_assessment(spark):
 def test_no_module_is_loaded():
     opcodes.scan_bytes(b"cantigravity\nfly\n.")
     assert "antigravity" not in sys.modules
+
+
+def test_advisory_without_cve_goes_first_among_ties(spark):
+    """One package, version and position: the order of the SQL is no CVE name, then the name, then the fix."""
+    rows = [("V-1", "a", "1", 1, ["CVE-9", "GHSA-1"], ["2.1"]), ("V-1", "a", "1", 1, ["GHSA-1"], ["2.7"]), ("V-1", "a", "1", 1, ["GHSA-1"], ["2.5"]), ("V-2", "a", "1", None, ["GHSA-2"], ["2.1"]), ("V-2", "a", "1", 4, ["CVE-2", "GHSA-2"], ["2.3"])]
+    advisories = spark.createDataFrame(rows, "id string, name string, version string, position int, aliases array<string>, fix_versions array<string>")
+    pins = spark.createDataFrame([("a", "1")], "name string, version string")
+    got = artifacts.dependency_findings(pins, advisories, spark.createDataFrame([], "id string, severity string")).select("category", "details.id", "details.fix_versions").collect()
+    assert sorted(map(tuple, got)) == [("CVE-2", "V-2", ["2.3"]), ("V-1", "V-1", ["2.5"])]

@@ -135,12 +135,16 @@ def dependency_findings(dependencies: DataFrame, advisories: DataFrame, severiti
     """scanner, category, severity, location, count, details of the dependencies (name, version) that advisories (name, version, id, aliases,
     fix_versions, position) speak of.
 
-    An id counts once, for its first package by position and then by name.  Its severity is that of severities (id, severity) under its GHSA name, medium
+    An id counts once, for its first package by position, name and version; of advisories that still tie, one without a CVE name goes first, then the
+    first CVE name, then the fix versions (nulls last in these).  Its severity is that of severities (id, severity) under its GHSA name, medium
     where none is known; of more than one the severest counts.  The category is the first CVE name, else the id.
     """
     pins = dependencies.select("name", "version").where(~F.lower("name").isin(*ignored) if ignored else F.lit(True)).distinct()
     hit = advisories.join(pins, ["name", "version"]).groupBy("id")
-    one = hit.agg(F.min_by(F.struct("name", "version", "aliases", "fix_versions"), F.struct("position", "name", "version", "aliases", "fix_versions")).alias("v")).select("id", "v.*")
+    cve = F.get(F.filter(F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda n: n.startswith("CVE-")), F.lit(0))
+    last = lambda c: F.struct(c.isNull(), c)
+    order = F.struct(last(F.col("position")), "name", "version", cve, F.transform("fix_versions", last), "aliases")
+    one = hit.agg(F.min_by(F.struct("name", "version", "aliases", "fix_versions"), order).alias("v")).select("id", "v.*")
     names = F.concat(F.array("id"), F.coalesce("aliases", F.array().cast("array<string>")))
     starts = lambda head: F.get(F.filter(names, lambda n: n.startswith(head)), F.lit(0))
     one = one.withColumns({"ghsa": starts("GHSA-"), "cve": starts("CVE-")})
