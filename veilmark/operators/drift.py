@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import significance as sig
-from ..plans.running import quantiles, running_totals
+from ..plans.running import count_quantiles, quantiles, running_totals
 from . import profile
 
 # Fixed values.
@@ -31,16 +31,27 @@ def psi(counts: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).agg(F.coalesce(F.sum((cur - ref) * F.log(cur / ref)), F.lit(0.0)).alias("psi"))  # one row of totals
 
 
+def _bin_counts(rows: DataFrame, edges: list[float]) -> DataFrame:
+    """value, r, b: rows (value, r, b) summed by bin, empty bins included."""
+    inner = F.array(*[F.lit(e) for e in edges[1:-1]]).cast("array<double>")
+    bin_of = F.size(F.filter(inner, lambda e: F.col("value").cast("double") >= e))
+    counts = rows.groupBy(bin_of.alias("value")).agg(F.sum("r").alias("r"), F.sum("b").alias("b"))
+    return rows.sparkSession.range(len(edges) - 1).withColumnRenamed("id", "value").join(counts, "value", "left").na.fill(0, ["r", "b"])
+
+
 def psi_numeric(reference: DataFrame, batch: DataFrame, column: str, bins: int = PSI_BINS) -> DataFrame:
     """One row: psi over the reference's quantile bins (repeated edges once, outer bins open)."""
     edges = sorted(set(quantiles(reference, F.col(f"`{column}`"), [i / bins for i in range(bins + 1)])))
     if len(edges) < 2:
         return reference.sparkSession.sql("SELECT 0.0D AS psi")
-    inner = F.array(*[F.lit(e) for e in edges[1:-1]]).cast("array<double>")
-    bin_of = F.size(F.filter(inner, lambda e: F.col("value").cast("double") >= e))
-    counts = value_counts(tagged(reference, batch, column).withColumn("value", bin_of))
-    every = reference.sparkSession.range(len(edges) - 1).withColumnRenamed("id", "value")
-    return psi(every.join(counts, "value", "left").na.fill(0, ["r", "b"]))
+    return psi(_bin_counts(tagged(reference, batch, column).select("value", F.col("is_ref").alias("r"), (1 - F.col("is_ref")).alias("b")), edges))
+
+
+def psi_of_counts(values: DataFrame, bins: int = PSI_BINS) -> float:
+    """psi_numeric() of rows (value double, r, b)."""
+    held = values.where("r > 0").select(F.col("value").alias("x"), F.col("r").alias("n"))
+    edges = sorted(set(count_quantiles(held, [i / bins for i in range(bins + 1)])))
+    return float(psi(_bin_counts(values, edges)).first().psi) if len(edges) > 1 else 0.0
 
 
 def psi_categorical(reference: DataFrame, batch: DataFrame, column: str) -> DataFrame:
@@ -53,8 +64,13 @@ def two_sample(reference: DataFrame, batch: DataFrame, column: str) -> DataFrame
     Works on distinct values; running counts go through range parts, so no task holds all values.
     """
     values = tagged(reference, batch, column).select(F.col("value").cast("double").alias("value"), "is_ref").where(~F.isnan("value"))
-    counts = running_totals(value_counts(values), "value", {"cr": "r", "cb": "b"})
-    total = counts.agg(F.sum("r").alias("n"), F.sum("b").alias("m"))
+    return two_sample_of_counts(value_counts(values))
+
+
+def two_sample_of_counts(values: DataFrame) -> DataFrame:
+    """two_sample() of rows (value double, r, b), which are read several times."""
+    counts = running_totals(values, "value", {"cr": "r", "cb": "b"})
+    total = values.agg(F.sum("r").alias("n"), F.sum("b").alias("m"))
     rows = counts.crossJoin(F.broadcast(total))  # one row of totals
     d = lambda c: F.col(c).cast("double")
     t = d("r") + d("b")
@@ -83,7 +99,11 @@ def p_values(row) -> list[float]:
 
 def chi_square(reference: DataFrame, batch: DataFrame, column: str) -> DataFrame:
     """One row: chi2 (Yates-corrected at one degree of freedom) and dof of homogeneity over the categories."""
-    counts = value_counts(tagged(reference, batch, column))
+    return chi_square_of_counts(value_counts(tagged(reference, batch, column)))
+
+
+def chi_square_of_counts(counts: DataFrame) -> DataFrame:
+    """chi_square() of rows (r, b), one a category."""
     total = counts.agg(F.sum("r").alias("n"), F.sum("b").alias("m"), F.count("*").alias("k"))
     rows = counts.crossJoin(F.broadcast(total))  # one row of totals
     col = F.col("r") + F.col("b")
@@ -113,52 +133,67 @@ def unseen_categories(reference: DataFrame, batch: DataFrame, column: str) -> Da
 
 def check_schema(reference: DataFrame, batch: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, problem, detail: missing and unexpected columns, type mismatches, null rates that grew by over 0.1."""
-    spark = reference.sparkSession
     columns = columns or reference.columns
+    roles = {r.column: r.role for r in profile.column_roles(reference.select(*[c for c in columns if c in batch.columns])).collect()}  # one row a column
+    return reference.sparkSession.createDataFrame(_schema_rows(reference, batch, columns, roles), "column string, problem string, detail double")
+
+
+def _schema_rows(reference: DataFrame, batch: DataFrame, columns: list[str], roles: dict[str, str | None]) -> list[tuple]:
     rows = [(c, "missing", None) for c in columns if c not in batch.columns] + [(c, "unexpected", None) for c in batch.columns if c not in reference.columns]
     both = [c for c in columns if c in batch.columns]
     if both:
-        roles = {r.column: r.role for r in profile.column_roles(reference.select(*both)).collect()}
-        rate = lambda df: df.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in both]).first()
-        parse = batch.agg(*[(F.count(profile.numeric_values(F.col(f"`{c}`"), batch.schema[c].dataType)) / F.count(F.col(f"`{c}`"))).alias(c) for c in both]).first()
-        before, after = rate(reference), rate(batch)
-        for c in both:
-            if roles.get(c) == "numeric" and parse[c] is not None and parse[c] < 0.95:
-                rows.append((c, "type mismatch", float(parse[c])))
-            if (after[c] or 0) - (before[c] or 0) > NULL_TOLERANCE:
-                rows.append((c, "null rate", float(after[c] - before[c])))
-    return spark.createDataFrame(rows, "column string, problem string, detail double")
+        rate = [F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(f"rate{i}") for i, c in enumerate(both)]
+        parsed = lambda c: F.count(profile.numeric_values(F.col(f"`{c}`"), batch.schema[c].dataType))
+        share = [F.try_divide(parsed(c), F.count(F.col(f"`{c}`"))).alias(f"share{i}") for i, c in enumerate(both) if roles.get(c) == "numeric"]
+        before, after = reference.agg(*rate).first(), batch.agg(*rate, *share).first()
+        for i, c in enumerate(both):
+            if roles.get(c) == "numeric" and after[f"share{i}"] is not None and after[f"share{i}"] < 0.95:
+                rows.append((c, "type mismatch", float(after[f"share{i}"])))
+            if (after[f"rate{i}"] or 0) - (before[f"rate{i}"] or 0) > NULL_TOLERANCE:
+                rows.append((c, "null rate", float(after[f"rate{i}"] - before[f"rate{i}"])))
+    return rows
 
 
 def check_drift(reference: DataFrame, batch: DataFrame, features: list[str] | None = None, exclude: tuple[str, ...] = (), alpha: float = ALPHA, psi_limit: float = PSI_LIMIT) -> DataFrame:
     """column, kind, psi, rejected, tests, drifted, unseen: a feature drifted when most of its tests reject at
     alpha / features and its PSI reaches the limit."""
+    return drift_and_problems(reference, batch, features, exclude, alpha, psi_limit)[0]
+
+
+def drift_and_problems(
+    reference: DataFrame, batch: DataFrame, features: list[str] | None = None, exclude: tuple[str, ...] = (), alpha: float = ALPHA, psi_limit: float = PSI_LIMIT
+) -> tuple[DataFrame, int]:
+    """check_drift and the number of problems of check_schema, with the roles found once."""
     spark = reference.sparkSession
-    mismatched = {r.column for r in check_schema(reference, batch).where("problem = 'type mismatch'").collect()}
+    found = profile.column_roles(reference.select(*[c for c in reference.columns if c in batch.columns])).collect()  # one row a column
+    problems = _schema_rows(reference, batch, reference.columns, {r.column: r.role for r in found})
+    mismatched = {c for c, problem, _ in problems if problem == "type mismatch"}
     columns = [c for c in features or reference.columns if c not in exclude and c in batch.columns and c not in mismatched]
-    rows = []
-    for r in profile.column_roles(reference.select(*columns)).collect():
-        c, kind = r.column, reference.schema[r.column].dataType
-        if not r.role and r.reason != "constant":
-            continue
-        role = r.role or ("numeric" if profile.is_numeric(kind) else "categorical")
-        if role == "categorical":
-            ref, cur = pooled(reference, batch, c)
-            if ref.dropna().isEmpty() or cur.dropna().isEmpty():
-                continue
-            x = chi_square(ref, cur, c).first()
-            ps = [sig.chi2_sf(x.chi2, x.dof) if x.dof else 1.0]
-            text = F.col(f"`{c}`").cast("string").alias(c)
-            unseen = unseen_categories(reference.select(text), batch.select(text), c).count()
-            rows.append((c, role, float(psi_categorical(ref, cur, c).first().psi), ps, unseen))
-            continue
-        parse = profile.datetime_days if role == "datetime" else profile.numeric_values
-        ref, cur = (df.select(parse(F.col(f"`{c}`"), df.schema[c].dataType).alias(c)).dropna() for df in (reference, batch))
-        if ref.isEmpty() or cur.isEmpty():
-            continue
-        x = two_sample(ref, cur, c).first()
-        ps = p_values(x)
-        rows.append((c, role, float(psi_numeric(ref, cur, c).first().psi), ps, 0))
+    known = {r.column: r for r in found}
+    rows = [row for c in columns if (row := _feature(reference, batch, c, known[c].role, known[c].reason))]
     level = alpha / max(1, len(rows))
     out = [(c, role, value, sum(p < level for p in ps), len(ps), 2 * sum(p < level for p in ps) > len(ps) and value >= psi_limit, unseen) for c, role, value, ps, unseen in rows]
-    return spark.createDataFrame(out, "column string, kind string, psi double, rejected int, tests int, drifted boolean, unseen long")
+    return spark.createDataFrame(out, "column string, kind string, psi double, rejected int, tests int, drifted boolean, unseen long"), len(problems)
+
+
+def _feature(reference: DataFrame, batch: DataFrame, c: str, role: str | None, reason: str | None) -> tuple | None:
+    """column, role, psi, p-values, unseen categories of one feature: its distinct values are counted once for all tests."""
+    if not role and reason != "constant":
+        return None
+    role = role or ("numeric" if profile.is_numeric(reference.schema[c].dataType) else "categorical")
+    parse = {"categorical": lambda x, _: x.cast("string"), "datetime": profile.datetime_days}.get(role, profile.numeric_values)
+    ref, cur = (df.select(parse(F.col(f"`{c}`"), df.schema[c].dataType).alias(c)) for df in (reference, batch))
+    counts = value_counts(tagged(ref, cur, c)).persist()
+    try:
+        size = counts.agg(F.sum("r").alias("n"), F.sum("b").alias("m"), F.count_if(F.col("r") == 0).alias("unseen")).first()
+        if not size.n or not size.m:
+            return None
+        if role != "categorical":
+            return c, role, psi_of_counts(counts), p_values(two_sample_of_counts(counts).first()), 0
+        top = [r[0] for r in counts.where("r > 0").orderBy(F.desc("r"), "value").limit(MAX_CATEGORIES).collect()]
+        fold = F.when(F.col("value").isin(top), F.col("value")).otherwise(OTHER)
+        folded = counts.groupBy(fold.alias("value")).agg(F.sum("r").alias("r"), F.sum("b").alias("b"))
+        x = chi_square_of_counts(folded).first()
+        return c, role, float(psi(folded).first().psi), [sig.chi2_sf(x.chi2, x.dof) if x.dof else 1.0], size.unseen
+    finally:
+        counts.unpersist()

@@ -34,6 +34,7 @@ def parsed_times(x: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return x.cast("timestamp")
     text = F.trim(x.cast("string"))
+    text = F.when(text.rlike("^[0-9A-Za-z+-]") & text.rlike("[0-9]"), text)  # any other text has no date; a failed parse is dear
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
 
 
@@ -65,8 +66,12 @@ def column_roles(df: DataFrame, label: str | None = None, exclude: tuple[str, ..
         x = F.col(f"`{f.name}`")
         x = F.nanvl(x, F.lit(None)) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else x
         text = F.trim(x.cast("string"))
+        named = bool(name_tokens(f.name) & ID_TOKENS) or f.name.startswith("Unnamed:")
+        # an exact count of distinct values shuffles them all; where only a constant matters the extremes show it
+        exact = named or isinstance(f.dataType, T.StringType) or not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        distinct = F.count_distinct(x) if exact else F.when(F.min(x) == F.max(x), 1).otherwise(2)
         number = numeric_values(x, f.dataType) if not isinstance(f.dataType, T.BooleanType) else F.lit(None).cast("double")
-        stats += [F.count(x).alias(f"n{i}"), F.count_distinct(x).alias(f"u{i}"), F.count(number).alias(f"num{i}"), F.count(parsed_times(x, f.dataType) if isinstance(f.dataType, T.StringType) else F.lit(None)).alias(f"d{i}")]
+        stats += [F.count(x).alias(f"n{i}"), distinct.alias(f"u{i}"), F.count(number).alias(f"num{i}"), F.count(parsed_times(x, f.dataType) if isinstance(f.dataType, T.StringType) else F.lit(None)).alias(f"d{i}")]
         stats += [F.coalesce(F.bool_or(text.rlike(LEADING_ZERO)), F.lit(False)).alias(f"z{i}"), F.coalesce(F.bool_and(text.rlike("^[0-9]+$")), F.lit(False)).alias(f"b{i}")]
     wide = df.agg(*stats)
     rows = []

@@ -28,7 +28,6 @@ def privacy_gate(df: DataFrame, quasi_identifiers: list[str], sensitive: str | N
 
 def monitor(reference: DataFrame, batch: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
     """One row: features, drifted, schema_problems, retrain."""
-    report = drift.check_drift(reference, batch, exclude=exclude)
-    problems = drift.check_schema(reference, batch).count()
+    report, problems = drift.drift_and_problems(reference, batch, exclude=exclude)
     out = report.agg(F.count("*").alias("features"), F.count_if("drifted").alias("drifted"))
     return out.withColumn("schema_problems", F.lit(problems)).withColumn("retrain", (F.col("drifted") > 0) | (F.lit(problems) > 0))

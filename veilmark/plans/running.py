@@ -33,7 +33,11 @@ def quantiles(df: DataFrame, x: Column, levels: list[float]) -> list[float]:
 
     Distinct values are counted and ranked in ranges, so no task holds all of them as an aggregate over a whole column would.
     """
-    counts = df.select(x.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n"))
+    return count_quantiles(df.select(x.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count("*").alias("n")), levels)
+
+
+def count_quantiles(counts: DataFrame, levels: list[float]) -> list[float]:
+    """quantiles() of rows (x, n): a distinct number and how often it is there."""
     ranked = running_totals(counts, "x", {"upto": "n"}).persist()
     try:
         size = ranked.agg(F.max("upto")).first()[0]
