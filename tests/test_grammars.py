@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from veilmark.plans import running
 from veilmark.functions import grammars as G
 from veilmark.operators import audit, references
 
@@ -76,3 +77,13 @@ def test_gram_losses_against_brute_force(spark):
         loss = [-math.log((want[g] + 0.1) / (whole[g[:3]] + 25.6)) for g in grams]
         assert got[i, pos] == (pytest.approx(sum(loss) / len(loss)), b - a)
     assert ("2", 2) not in got
+
+
+def test_dear_rows_are_dealt_over_all_tasks(spark):
+    """Short values in one partition are drawn for in many tasks."""
+    from veilmark.operators import references
+
+    targets = spark.createDataFrame([("EMAIL", f"a{i}@b.example") for i in range(200)], "entity_type string, value string").coalesce(1)
+    plan = references.outside_corpus(targets, 2)._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan or "Repartition" in plan
+    assert running.spread(targets).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

@@ -12,6 +12,7 @@ from .catalog import query, t
 from .functions import grammars
 from .operators import audit, references, text
 from .plans import remediation
+from .plans.running import spread
 
 
 def _folder(s: SparkSession, name: str) -> str:
@@ -70,7 +71,7 @@ SELECT c_custkey, c || ((10 - (SELECT sum(CASE WHEN i % 2 = 1 THEN (2 * y) // 10
  array_to_string([substr(m, i, 2) FOR i IN [1, 3, 5, 7, 9, 11]], ':') AS mac, true AS valid FROM d""")
 def value_grammars(s, d):
     """Stand-ins of five types for each customer's name, and whether each passes its check."""
-    made = t(s, d, "customer").select("c_custkey", *[grammars.made(k, grammars.key_of(F.lit(k), F.col("c_name"))).alias(n) for k, n in _KINDS.items()])
+    made = spread(t(s, d, "customer").select("c_custkey", "c_name")).select("c_custkey", *[grammars.made(k, grammars.key_of(F.lit(k), F.col("c_name"))).alias(n) for k, n in _KINDS.items()])
     good = F.lit(True)
     for k, n in _KINDS.items():
         good = good & grammars.valid(k, F.col(n))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grammars import generated
 from ..functions.patterns import shape, similar
+from ..plans.running import spread
 from .text import surrogate
 
 
@@ -38,7 +39,7 @@ def perturbed(kind: Column, value: Column, n: int, seed: int = 0) -> Column:
 def outside_corpus(targets: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """entity_type, value, made: up to n values that are no value of the corpus: of the type's grammar and like the value,
     then of the grammar, then of the value's shape."""
-    asked = targets.select("entity_type", "value").distinct()
+    asked = spread(targets.select("entity_type", "value").distinct())  # a value is short, its draws take long
     rows = asked.select("entity_type", "value", F.explode(_drawn(F.col("entity_type"), F.col("value"), n, seed)).alias("x"))
     free = rows.withColumn("v", F.col("x.v")).join(targets.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
     return free.groupBy("entity_type", "value").agg(_first(F.collect_list("x"), n).alias("made"))

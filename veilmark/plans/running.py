@@ -52,5 +52,11 @@ def count_quantiles(counts: DataFrame, levels: list[float]) -> list[float]:
     return [low if low == high else (math.ceil(p) - p) * low + (p - int(p)) * high for p, (low, high) in ((p, at(p)) for p in places)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over tasks for all cores: rows of few bytes that take long to work on otherwise come in one task or two."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def half_up(x: Column, digits: int) -> Column:
     return F.round(x, digits)
