@@ -41,7 +41,7 @@ def variant(document: Column) -> Column:
     """The document as VARIANT; null unless the whole text is one JSON value."""
     # in brackets, so that a text with something behind its value is no JSON
     several = F.try_parse_json(F.concat(F.lit("["), document, F.lit("]"))).try_cast("array<variant>")
-    return F.when(F.size(several) == 1, F.get(several, F.lit(0)))
+    return _once(several, lambda some: F.when(F.size(some) == 1, F.get(some, F.lit(0))))
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -121,10 +121,12 @@ def _helper_parts(document: Column) -> Column:
 def with_parts(docs: DataFrame, document: str = "document", name: str = "parts") -> DataFrame:
     """docs with a struct(payload, events): the signed text, and for each event its kind, prev, signature, body (what is signed) and whole (what is hashed)."""
     plain = lambda d: ~F.regexp_replace(d, _STRINGS, "").rlike(_OWN_NUMBERS) & ~d.rlike(_WIDE)
-    native = _once(F.col(document), lambda d: F.when(plain(d), _native_parts(variant(d))))
-    rest = _once(F.col(document), lambda d: F.when(~F.coalesce(plain(d), F.lit(False)) | variant(d).isNull(), d))
-    helped = F.col("__helped")
-    return docs.withColumn("__helped", _helper_parts(rest)).withColumn(name, F.coalesce(native, F.when(helped["payload"].isNotNull(), helped))).drop("__helped")
+    d, helped = F.col(document), F.col("__helped")
+    # the document is parsed once, for its parts and for what goes to the helper
+    rows = docs.withColumn("__native", F.when(plain(d), _once(variant(d), lambda v: F.struct(v.isNotNull().alias("read"), _native_parts(v).alias("parts")))))
+    rest = F.when(~F.coalesce(F.col("__native.read"), F.lit(False)), d)
+    rows = rows.withColumn("__helped", _helper_parts(rest))
+    return rows.withColumn(name, F.coalesce(F.col("__native.parts"), F.when(helped["payload"].isNotNull(), helped))).drop("__helped", "__native")
 
 
 # --- checks ---------------------------------------------------------------------------------------
@@ -178,14 +180,18 @@ def verify_documents(docs: DataFrame, key: bytes, document: str = "document") ->
 
     event_problems: (event, problem) with problem ``chain`` (it does not name the event before it), ``signature`` or ``malformed``.
     """
-    kept = [c for c in docs.columns if c != document]
-    rows = with_parts(docs, document, "__p").withColumn("__v", variant(F.col(document)))
+    return _checked(with_parts(docs, document, "__p"), key, document, [c for c in docs.columns if c != document])
+
+
+def _checked(rows: DataFrame, key: bytes, document: str, kept: list[str]) -> DataFrame:
+    """verify_documents() of rows whose parts are in __p."""
+    rows = rows.withColumn("__v", variant(F.col(document)))
     read = lambda path, kind="string": F.try_variant_get(F.coalesce("__v", F.try_parse_json(F.col(document))), path, kind)
     hashes = F.transform(read("$.artifacts", "array<variant>"), lambda a: F.try_variant_get(a, "$.sha256", "string"))
     events = F.col("__p.events")
     pair = lambda text, signature: F.struct(text.alias("text"), signature.alias("signature"))
     signed = F.concat(F.array(pair(F.col("__p.payload"), read("$.identity.signature"))), F.transform(events, lambda e: pair(e["body"], e["signature"])))
-    rows = rows.withColumns({"__good": signatures_hold(key)(F.when(F.col("__p").isNotNull(), signed)), "__anchor": sha256(F.col("__p.payload")), "__root": merkle_root(hashes)})
+    rows = rows.withColumns({"__good": signatures_hold(key)(F.when(F.col("__p").isNotNull(), signed)), "__anchor": sha256(F.col("__p.payload")), "__root": _once(hashes, merkle_root)})
 
     def problems(x: Column) -> Column:
         def of(e: Column, i: Column) -> Column:
@@ -247,8 +253,8 @@ def accept_events(stored: DataFrame, offered: DataFrame, key: bytes) -> DataFram
 
     Reasons are ``unknown``, ``invalid``, ``chain`` and ``signature``; of several events for one document only those that name that hash fit.
     """
-    docs = with_parts(stored, "document", "__q").withColumn("__next", previous_hash(F.col("__q"))).drop("__q")
-    docs = verify_documents(docs, key).select("id", "verified", "__next")
+    docs = with_parts(stored, "document", "__p").withColumn("__next", previous_hash(F.col("__p")))
+    docs = _checked(docs, key, "document", ["id", "__next"]).select("id", "verified", "__next")
     wrapped = offered.withColumn("__d", F.concat(F.lit('{"events":['), F.col("event"), F.lit("]}")))
     rows = with_parts(wrapped, "__d", "__q").withColumn("__e", F.get(F.col("__q.events"), F.lit(0))).drop("__d", "__q")
     rows = rows.withColumn("__good", signatures_hold(key)(F.array(F.struct(F.col("__e.body").alias("text"), F.col("__e.signature").alias("signature"))))).join(docs, "id", "left")
