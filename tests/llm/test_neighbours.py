@@ -71,3 +71,47 @@ def test_edges(spark):
     assert sorted(map(tuple, nearest(spark, wide, wide.where("id % 20 = 0")).collect())) == sorted(map(tuple, lists))
     assert nearest(spark, df.limit(0), df.limit(0)).collect() == [] and nearest(spark, df, df.where("id = 60")).collect() == []
     assert nearest(spark, df.where("id = 1"), df.where("id = 1")).collect() == []
+
+
+def test_parts_are_searched_exactly_whatever_the_scale():
+    """A part's answers are the best of the leaves each query visits, with copies, ties and tiny or huge numbers."""
+    import pyarrow as pa
+
+    from veilmark.llm import forest_kernels as kernels
+
+    r = np.random.default_rng(5)
+    for scale in (1.0, 1e-18, 1e25):
+        x = r.normal(size=(900, 8)) * scale
+        x[40:80], x[100:140] = x[0], x[0] * (1 + 1e-12)  # equal, and equal but in the last places
+        leaf = r.integers(0, 12, 900)
+        ids = [sorted(r.choice(10_000, r.integers(1, 6), replace=False).tolist()) for _ in range(900)]
+        q = np.vstack([x[0], r.normal(size=(29, 8)) * scale])
+        visits = [sorted(r.choice(14, r.integers(1, 13), replace=False).tolist()) for _ in range(30)]
+        names = [bytes([k]) for k in range(30)]
+        left = pa.table({"leaf": pa.array(leaf, pa.int32()), "ids": pa.array(ids, pa.list_(pa.int64())), "vector": pa.array(x.tolist())})
+        right = pa.table({"name": pa.array(names, pa.binary()), "vector": pa.array(q.tolist()), "leaves": pa.array(visits, pa.list_(pa.int32()))})
+        out = kernels.reranker(7)(left, right)
+        got = {n: [(f["worse"], f["id"]) for f in v] for n, v in zip(out["name"].to_pylist(), out["found"].to_pylist())}
+        for k in range(30):
+            want = sorted((-s, i) for row in np.flatnonzero(np.isin(leaf, visits[k])) for s in [(x[row] * q[k]).sum()] for i in ids[row])[:7]
+            assert got.get(names[k], []) == want
+        # lists of one name from several parts, with what they share once
+        batch = out.to_batches()[0]
+        (merged,) = kernels.merger(5, flush=20)([batch, batch.slice(3), batch])
+        assert {n: [(f["worse"], f["id"]) for f in v] for n, v in zip(merged["name"].to_pylist(), merged["found"].to_pylist())} == {n: sorted(set(v))[:5] for n, v in got.items()}
+
+
+def test_executors_need_no_package_for_the_forest():
+    import pickle
+    import pickletools
+
+    from veilmark.llm import forest_kernels as kernels
+
+    sample = np.random.default_rng(1).normal(size=(200, 6))
+    forest = kernels.fit(sample, 2, 3, float((sample**2).sum(axis=1).max()), 0)
+    assert not any("veilmark" in str(arg) for _, arg, _ in pickletools.genops(pickle.dumps(forest.state())))
+    again = kernels.Forest(*forest.state())
+    assert (again.leaves_of(sample) == forest.leaves_of(sample)).all()
+    # the first leaf visited of a tree is where a query falls; all leaves are visited once
+    order = forest.order(sample[:5])
+    assert (np.sort(order, axis=1) == np.arange(16)).all()

@@ -46,18 +46,21 @@ class Forest:
         y = np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32)
         return [y @ self.planes[t].T - self.cuts[t] for t in range(self.trees)]
 
-    def visits(self, margins):
-        """(tree, leaf) in the order of one queue over all trees: the least cut crossed on the way comes first."""
-        queue = [(0.0, t, 0) for t in range(self.trees)]
-        inner = self.leaves - 1
-        while queue:
-            crossed, t, node = heapq.heappop(queue)
-            while node < inner:
-                d = float(margins[t][node])
-                near, far = (2 * node + 2, 2 * node + 1) if d >= 0 else (2 * node + 1, 2 * node + 2)
-                heapq.heappush(queue, (max(crossed, abs(d)), t, far))
-                node = near
-            yield t, node - inner
+    def order(self, queries):
+        """For each query all leaves (tree * leaves + leaf) in the order of one queue over all trees: the least cut crossed on the way comes first."""
+        every = []
+        for d in self.margins(queries):
+            crossed = np.zeros((len(d), 1), dtype=np.float32)
+            while crossed.shape[1] < self.leaves:
+                here = d[:, crossed.shape[1] - 1 : 2 * crossed.shape[1] - 1]
+                far = np.maximum(crossed, np.abs(here))
+                crossed = np.stack([np.where(here >= 0, far, crossed), np.where(here >= 0, crossed, far)], axis=2).reshape(len(d), -1)
+            every.append(crossed)
+        return np.argsort(np.hstack(every), axis=1, kind="stable")
+
+    def state(self):
+        """What the constructor takes: plain arrays, so that executors need no copy of this package for a broadcast."""
+        return self.trees, self.depth, self.norm2, self.planes, self.cuts
 
 
 def fit(sample, trees, depth, norm2, seed):
@@ -134,7 +137,7 @@ def router(forest, shelves):
     """tree, shelf, leaf, name, ids, vector: a row for each vector and tree; a shelf is a run of neighbouring leaves."""
 
     def run(batches):
-        f = forest.value
+        f = Forest(*forest.value)
         per = f.leaves // shelves
         for batch in batches:
             leaves = f.leaves_of(matrix(batch.column(batch.schema.get_field_index("vector"))))
@@ -176,7 +179,7 @@ def exact(queries, forest, keep):
             for k, (_, q) in enumerate(queries.value):
                 got = best(x, ids, q, keep)
                 if got:
-                    leaves = forest.value.leaves_of(x) if leaves is None else leaves
+                    leaves = Forest(*forest.value).leaves_of(x) if leaves is None else leaves
                     where = {i: n for n, own in enumerate(ids) for i in own} if not k else where
                     found[k] = sorted([*found[k], *[(s, i, leaves[where[i]].tolist()) for s, i in got]])[:keep]
         rows = [{"q": k, "score": -s, "id": i, "leaves": own} for k, mine in enumerate(found) for s, i, own in mine]
@@ -187,62 +190,159 @@ def exact(queries, forest, keep):
 
 
 def places(forest, query):
-    """Place of each (tree, leaf) in the query's order of visits."""
-    order = forest.visits([m[0] for m in forest.margins(query[None, :])])
-    return {at: k for k, at in enumerate(order)}
+    """Place of each leaf (tree * leaves + leaf) in the query's order of visits."""
+    order = forest.order(query[None, :])[0]
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.arange(len(order))
+    return at
 
 
-def searcher(forest, shelves, sizes, budget, least):
+def searcher(forest, shelves, sizes, budget, least, block=256):
     """name, vector, shelf, leaves: the leaves each query visits, a row for each shelf.
 
     Visits go on until ``budget`` leaves are seen and one tree has shown ``least`` different vectors or all.
     """
 
     def run(batches):
-        f, counts = forest.value, sizes.value
-        per = f.leaves // shelves
-        whole = counts[0].sum()
+        f, counts = Forest(*forest.value), sizes.value
+        per, flat = f.leaves // shelves, counts.ravel()
+        enough = min(least, counts[0].sum())
         for batch in batches:
             x = matrix(batch.column(batch.schema.get_field_index("vector")))
-            margins = f.margins(x)
-            rows, shelf, leaves = [], [], []
-            for k in range(len(x)):
-                seen, mine = np.zeros(f.trees, dtype=np.int64), {}
-                for n, (t, leaf) in enumerate(f.visits([m[k] for m in margins])):
-                    if n >= budget and seen.max() >= min(least, whole):
-                        break
-                    seen[t] += counts[t][leaf]
-                    if counts[t][leaf]:
-                        mine.setdefault(t * shelves + leaf // per, []).append(t * f.leaves + leaf)
-                rows += [k] * len(mine)
-                shelf += list(mine)
-                leaves += list(mine.values())
-            at = pa.array(rows, pa.int64())
+            rows, shelf, leaves, ends = [], [], [], [0]
+            for at in range(0, len(x), block):
+                for k, order in enumerate(f.order(x[at : at + block]), at):
+                    upto = budget
+                    if np.bincount(order[:upto] // f.leaves, flat[order[:upto]], f.trees).max() < enough:
+                        own = order // f.leaves
+                        upto = max(upto, min(int(np.searchsorted(np.cumsum(np.where(own == t, flat[order], 0)), enough)) for t in range(f.trees)) + 1)
+                    mine = np.sort(order[:upto][flat[order[:upto]] > 0])
+                    on, first = np.unique(mine // per, return_index=True)
+                    rows.append(np.full(len(on), k))
+                    shelf.append(on)
+                    ends.extend((ends[-1] + np.append(first[1:], len(mine))).tolist() if len(on) else [])
+                    leaves.append(mine)
+            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), pa.int64())
             own = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("name", "vector")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(shelf, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["name", "vector", "shelf", "leaves"])
+            joined = lambda parts: np.concatenate([np.zeros(0, dtype=np.int64), *parts]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(joined(shelf)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(joined(leaves)))], names=["name", "vector", "shelf", "leaves"])
 
     return run
 
 
+FOUND = pa.list_(pa.struct([("worse", pa.float64()), ("id", pa.int64())]))
+
+
+def _ranks(groups):
+    """Place of each row inside its group; the rows of a group lie together."""
+    first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, dtype=np.int64)
+    return np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups))))
+
+
+def _listed(names, owner, worse, ids):
+    """name, found of rows that are sorted by owner, a place in names."""
+    on, first = np.unique(owner, return_index=True)
+    offsets = pa.array(np.append(first, len(owner)).astype(np.int32))
+    kept = pa.StructArray.from_arrays([pa.array(worse, pa.float64()), pa.array(ids, pa.int64())], names=["worse", "id"])
+    return names.take(pa.array(on, pa.int64())), pa.ListArray.from_arrays(offsets, kept).cast(FOUND)
+
+
+def _leading(x, q, leaf, visited, owner, keep, cells=1 << 22):
+    """(query, row): the rows x that may be among the keep best of a query in the leaves that it visits; leaf and visited are sorted.
+
+    Each leaf meets its queries in one matrix product, in single precision where the range allows; what comes within the error of a query's
+    keep-th best so far stays.
+    """
+    most, norm = np.sqrt((x * x).sum(axis=1).max()), np.sqrt((q * q).sum(axis=1))
+    single = 1e-28 < most * norm.min() and max(most, norm.max(), most * norm.max()) < 1e30
+    kind = np.float32 if single else np.float64
+    slack = ((x.shape[1] + 8) * float(np.finfo(kind).eps) * 2 * most * norm).astype(kind)
+    x, q = x.astype(kind), q.astype(kind)
+    bar = np.full(len(q), -np.inf, dtype=kind)
+    held = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind))]
+
+    def tightened():
+        who, row, s = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((-s, who))
+        who, row, s = who[order], row[order], s[order]
+        last = np.flatnonzero(_ranks(who) == keep - 1)
+        bar[who[last]] = s[last]
+        stay = s >= bar[who] - slack[who]
+        return [(who[stay], row[stay], s[stay])]
+
+    first = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+    size, waiting, step = 0, 0, 1
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(leaf)], strict=True):
+        asked = owner[np.searchsorted(visited, leaf[a]) : np.searchsorted(visited, leaf[a], side="right")]
+        for c in range(0, len(asked), max(1, cells // (b - a))):
+            mine = asked[c : c + max(1, cells // (b - a))]
+            s = q[mine] @ x[a:b].T
+            new = np.flatnonzero(np.isneginf(bar[mine]))
+            if len(new) and b - a > keep:
+                bar[mine[new]] = np.partition(s[new], b - a - keep, axis=1)[:, b - a - keep]
+            i, j = np.nonzero(s >= (bar[mine] - slack[mine])[:, None])
+            held.append((mine[i], a + j, s[i, j]))
+            waiting += len(i)
+        size += 1
+        if size == step or waiting > 1 << 22:
+            held, waiting, step = tightened(), 0, max(step, 2 * size)
+    return tightened()[0][:2]
+
+
 def reranker(keep):
     """name, found (score, id): the best vectors of a shelf part for the queries that visit it."""
-    kind = pa.list_(pa.struct([("worse", pa.float64()), ("id", pa.int64())]))
 
     def run(vectors, asked):
         n, m = vectors.num_rows, asked.num_rows
         if not n or not m:
-            return pa.table({"name": pa.array([], pa.binary()), "found": pa.array([], kind)})
-        x, q = matrix(vectors["vector"]), matrix(asked["vector"])
-        leaf, ids = vectors["leaf"].to_numpy(), vectors["ids"].to_pylist()
+            return pa.table({"name": pa.array([], pa.binary()), "found": pa.array([], FOUND)})
+        leaf = vectors["leaf"].to_numpy()
         order = np.argsort(leaf, kind="stable")
-        x, leaf, ids = x[order], leaf[order], [ids[k] for k in order.tolist()]
-        names, found = [], []
-        for name, query, visited in zip(asked["name"].to_pylist(), q, asked["leaves"].to_pylist(), strict=True):
-            firsts, ends = np.searchsorted(leaf, visited), np.searchsorted(leaf, visited, side="right")
-            at = np.concatenate([np.arange(a, b) for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)])
-            if len(at):
-                names.append(name)
-                found.append([{"worse": s, "id": i} for s, i in best(x[at], [ids[k] for k in at.tolist()], query, keep)])
-        return pa.table({"name": pa.array(names, pa.binary()), "found": pa.array(found, kind)})
+        x, q, leaf = matrix(vectors["vector"])[order], matrix(asked["vector"]), leaf[order]
+        lists = vectors["ids"].combine_chunks().take(pa.array(order))
+        ids, starts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        leaves = asked["leaves"].combine_chunks()
+        visited, owner = leaves.flatten().to_numpy(), np.repeat(np.arange(m), np.diff(leaves.offsets.to_numpy()))
+        order = np.argsort(visited, kind="stable")
+        who, row = _leading(x, q, leaf, visited[order], owner[order], keep)
+        worse = np.concatenate([np.zeros(0), *[-(x[row[a : a + 65_536]] * q[who[a : a + 65_536]]).sum(axis=1) for a in range(0, len(row), 65_536)]])
+        copies = starts[row + 1] - starts[row]
+        near = np.repeat(np.arange(len(row)), copies)
+        each = ids[starts[row][near] + _ranks(near)]
+        order = np.lexsort((each, worse[near], who[near]))
+        order = order[_ranks(who[near][order]) < keep]
+        names, found = _listed(asked["name"].combine_chunks(), who[near][order], worse[near][order], each[order])
+        return pa.table({"name": names, "found": found})
+
+    return run
+
+
+def merger(keep, flush=1 << 20):
+    """name, found: the keep best different (score, id) of all lists of a name; a task holds all lists of its names, by turns cut to keep."""
+
+    def run(batches):
+        places, held, waiting = {}, [], 0
+
+        def best_of(parts):
+            owner, worse, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((ids, worse, owner))
+            owner, worse, ids = owner[order], worse[order], ids[order]
+            new = np.ones(len(owner), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (worse[1:] != worse[:-1]) | (ids[1:] != ids[:-1])
+            owner, worse, ids = owner[new], worse[new], ids[new]
+            stay = _ranks(owner) < keep
+            return owner[stay], worse[stay], ids[stay]
+
+        for batch in batches:
+            found = batch.column(batch.schema.get_field_index("found"))
+            own = np.array([places.setdefault(n, len(places)) for n in batch.column(batch.schema.get_field_index("name")).to_pylist()], dtype=np.int64)
+            flat = found.flatten()
+            held.append((np.repeat(own, np.diff(found.offsets.to_numpy())), flat.field("worse").to_numpy(), flat.field("id").to_numpy()))
+            waiting += len(flat)
+            if waiting > flush:
+                held, waiting = [best_of(held)], 0
+        if held:
+            names, found = _listed(pa.array(list(places), pa.binary()), *best_of(held))
+            yield pa.RecordBatch.from_arrays([names, found], names=["name", "found"])
 
     return run

@@ -44,7 +44,8 @@ class ForestParams:
     tuning_queries: int = 64
     recall: float = 0.95
     least_seen: int = 1024
-    shelf_rows: int = 4096
+    #: a shelf's vectors; a query goes to each shelf that it visits
+    shelf_rows: int = 16_384
     part_rows: int = 16_384
     seed: int = 0
 
@@ -71,7 +72,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, params:
     depth = max(1, int(deep))
     shelves = 1 << min(depth, max(3, math.ceil(math.log2(n / p.shelf_rows))))
     forest = kernels.fit(sample, p.trees, depth, norm2, p.seed)
-    held = spark.sparkContext.broadcast(forest)  # trees * 2 ** depth directions
+    held = spark.sparkContext.broadcast(forest.state())  # trees * 2 ** depth directions
 
     posted = stage.table(entries.mapInArrow(kernels.router(held, shelves), f"shelf int, leaf int, name binary, ids array<long>, vector {kind}"), "posted")
     counts = np.zeros(p.trees << depth, dtype=np.int64)
@@ -90,8 +91,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, params:
     left = posted.join(split, "shelf").select("shelf", "leaf", "ids", "vector", part("of"), copies("by", "b"))
     right = visits.join(split, "shelf").select("shelf", "name", "vector", "leaves", part("by"), copies("of", "o"))
     found = left.groupBy("shelf", "o", "b").cogroup(right.groupBy("shelf", "o", "b")).applyInArrow(kernels.reranker(keep), "name binary, found array<struct<worse:double,id:long>>")
-    merged = found.groupBy("name").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep).alias("found"))  # a list for each shelf part visited
-    merged = stage.table(merged, "merged")
+    # a list for each shelf part visited; array_distinct would compare all pairs of them
+    merged = stage.table(found.repartition("name").mapInArrow(kernels.merger(keep), "name binary, found array<struct<worse:double,id:long>>"), "merged")
 
     own = asked.select(F.col("id").alias("query_id"), "name").distinct().join(if_small(merged), "name")
     others = F.slice(F.filter("found", lambda f: f["id"] != F.col("query_id")), 1, p.neighbours)
@@ -125,5 +126,5 @@ def _budget(stage: Stage, entries: DataFrame, different: DataFrame, forest: kern
     seen = []
     for r in top.collect():  # neighbours + 1 for each of the few queries
         at = kernels.places(forest, x[r.q])
-        seen += [min(at[t, leaf] for t, leaf in enumerate(f.leaves)) + 1 for f in r.top]
+        seen += [min(int(at[t * forest.leaves + leaf]) for t, leaf in enumerate(f.leaves)) + 1 for f in r.top]
     return int(np.quantile(seen, p.recall, method="higher")) if seen else 1
