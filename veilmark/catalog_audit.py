@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +9,7 @@ from .catalog import query, t
 from .functions import grammars
 from .operators import audit, references, text
 from .plans import remediation
-from .plans.running import spread
-
-
-def _folder(s: SparkSession, name: str) -> str:
-    shared = s.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="veilmark-") if s.sparkContext.master.startswith("local") else s.conf.get("spark.sql.warehouse.dir"))
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+from .plans.running import shared_folder, spread, stored
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:
@@ -44,13 +36,12 @@ def gram_losses(s, d):
 def entity_audit(s, d):
     """A whole audit of the personal data in the documents: look-alikes, losses under the documents' own grams, evidence
     cross-fitted over two methods, correction, risk; findings by type and severity."""
-    asked = references.references(audit.targets(_records(s, d), context=3), 5, "synthetic")
-    folder = _folder(s, "audit")
-    asked.write.parquet(f"{folder}/targets")
-    asked = s.read.parquet(f"{folder}/targets")
+    found = stored(audit.targets(_records(s, d), context=3), "audit-found")  # read several times, detected once
+    asked = stored(references.references(found, 5, "synthetic"), "audit-targets")
     losses = audit.gram_losses(references.variants(asked), audit.gram_counts(t(s, d, "documents")))
-    audit.evidence(losses, asked).write.parquet(f"{folder}/scores")
-    found = audit.entity_risk(audit.benjamini_hochberg(audit.gather(s.read.parquet(f"{folder}/scores"), ["loss", "reference"])))
+    scores = stored(audit.evidence(losses, asked), "audit-scores")
+    judged = stored(audit.gather(scores, ["loss", "reference"]), "audit-judged")
+    found = audit.entity_risk(audit.benjamini_hochberg(judged))
     return found.groupBy("entity_type", "severity").agg(F.count("*").alias("n"))
 
 
@@ -78,10 +69,17 @@ def value_grammars(s, d):
     return made.withColumn("valid", good)
 
 
+@query("references")
+def reference_values(s, d):
+    """How many look-alikes, of the corpus and made, each personal value of the documents has."""
+    found = stored(audit.targets(_records(s, d)).select("id", "pos", "entity_type", "value"), "references-found")  # read several times, detected once
+    return references.references(found, 5).select("id", "pos", F.size("references").alias("n"))
+
+
 @query("remediation_rounds")
 def remediation_rounds(s, d):
     """Rounds over the personal data of the documents, from the first audit to the gate."""
-    folder = _folder(s, "rounds")
+    folder = shared_folder(s, "rounds")
     raw = _records(s, d)
     raw.write.parquet(f"{folder}/raw")
     raw = s.read.parquet(f"{folder}/raw")

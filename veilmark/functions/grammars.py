@@ -6,7 +6,7 @@ input gives the same value on every executor, and no generator state travels.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -203,10 +203,14 @@ def key_of(kind: Column, value: Column, seed: Column | int = 0) -> Column:
     return F.concat_ws("\u0001", number_, kind, value)
 
 
-def generated(kind: Column, value: Column, seed: Column | int = 0) -> Column:
-    """A value of the type's grammar that depends on (seed, type, value) alone; null for types without a grammar."""
+def generated(kind: Column, value: Column, seed: Column | int = 0, kinds: Collection[str] | None = None) -> Column:
+    """A value of the type's grammar that depends on (seed, type, value) alone; null for types without a grammar.
+
+    kinds: the only types (in upper case) that occur, so that the driver does not plan the grammars of all others with each query.
+    """
     key = key_of(kind, value, seed)
-    return reduce(lambda out, k: out.when(F.upper(kind) == k, made(k, key)), list(GRAMMARS)[1:], F.when(F.upper(kind) == "EMAIL", made("EMAIL", key)))
+    cases = [(F.upper(kind) == k, made(k, key)) for k in GRAMMARS if kinds is None or k in kinds]
+    return reduce(lambda out, case: out.when(*case), cases[1:], F.when(*cases[0])) if cases else F.lit(None).cast("string")
 
 
 def valid(kind: str, value: Column) -> Column:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,10 +133,71 @@ def _grams(padded: Column, order: int) -> Column:
     return F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{order}}}))."), F.lit(1))
 
 
+def _packed_counts(text: str, keep: np.ndarray, order: int) -> tuple[list[str], list[int]]:
+    """The different runs of order code points of a text that start where keep is true, and their counts."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    known = np.zeros(0x110000, dtype=bool)
+    known[points] = True
+    alphabet = np.flatnonzero(known).astype(np.uint32)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * order > 64:  # too many different characters for one number
+        found = Counter(text[i : i + order] for i in np.flatnonzero(keep).tolist())
+        return list(found), list(found.values())
+    dense = np.zeros(0x110000, dtype=np.uint64)
+    dense[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    points, n = dense[points], len(points) - order + 1
+    key = points[:n].copy()
+    for i in range(1, order):
+        key = (key << np.uint64(bits)) | points[i : i + n]
+    key, counts = np.unique(key[keep[:n]], return_counts=True)
+    places = np.uint64(bits) * np.arange(order - 1, -1, -1, dtype=np.uint64)
+    letters = alphabet[((key[:, None] >> places) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    whole = letters.tobytes().decode("utf-32-le")
+    return [whole[i : i + order] for i in range(0, len(whole), order)], counts.tolist()
+
+
+def gram_counter(order: int, piece: int = 1 << 22, flush: int = 500_000):
+    """(g, n): the grams of a task's texts, order - 1 blanks before each, counted over pieces of some million characters; a gram can have several rows."""
+    pad = " " * (order - 1)
+
+    def rows(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["g", "n"])
+
+    def parts(batch):
+        taken, size = [], 0
+        for value in batch.column(0):
+            taken.append(value.as_py())
+            size += len(taken[-1]) + len(pad)
+            if size > piece:
+                yield taken, size
+                taken, size = [], 0
+        if taken:
+            yield taken, size
+
+    def run(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for texts, size in parts(batch):
+                keep = np.ones(size + 1, dtype=bool)
+                ends = np.cumsum([len(x) + len(pad) for x in texts])
+                for i in range(1, order):  # runs over the end of a text
+                    keep[ends - i] = False
+                found, counts = _packed_counts("".join(pad + x for x in texts), keep[:size], order)
+                for g, n in zip(found, counts, strict=True):
+                    held[g] += n
+                if len(held) > flush:
+                    yield rows(held)
+                    held.clear()
+        if held:
+            yield rows(held)
+
+    return run
+
+
 def gram_counts(records: DataFrame, order: int = 4) -> DataFrame:
     """context, next, n: how often a character follows the order - 1 before it, over the whole texts of all records (null: none)."""
-    grams = records.where("text is not null").select(F.explode(_grams(F.concat(F.lit(" " * (order - 1)), "text"), order)).alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    texts = records.where("text <> ''").select(F.make_valid_utf8("text").alias("text"))
+    counts = texts.mapInArrow(gram_counter(order), "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
     return counts.select(F.left("g", F.lit(order - 1)).alias("context"), F.substring("g", order, 1).alias("next"), "n")
 
 

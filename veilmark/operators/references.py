@@ -4,23 +4,24 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grammars import generated
 from ..functions.patterns import shape, similar
-from ..plans.running import spread
+from ..plans.running import spread, stored
 from .text import surrogate
 
 
 CELL = ["entity_type", "n", "like"]
 
 
-def _drawn(kind: Column, value: Column, n: int, seed: int) -> Column:
-    """array<struct<rank, i, v>>: 8 n draws of the type's grammar, those like the value first, then n that keep its shape."""
+def _drawn(kind: Column, value: Column, n: int, seed: int, kinds: Collection[str]) -> Column:
+    """array<struct<rank, i, v>>: 8 n draws of the type's grammar if it is one of kinds, those like the value first, then n that keep its shape."""
     draw = lambda i: F.lit(seed * 1000) + i
-    ours = F.transform(F.sequence(F.lit(1), F.lit(8 * n)), lambda i: F.struct(i.alias("i"), generated(kind, value, draw(i)).alias("v")))
+    ours = F.transform(F.sequence(F.lit(1), F.lit(8 * n)), lambda i: F.struct(i.alias("i"), generated(kind, value, draw(i), kinds).alias("v")))
     ours = F.transform(ours, lambda x: F.struct(F.when(similar(value, x["v"]), 0).otherwise(1).alias("rank"), x["i"].alias("i"), x["v"].alias("v")))
     # types without a grammar have nothing but their shape
     shaped = F.transform(F.sequence(F.lit(1), F.lit(3 * n)), lambda i: F.struct(F.lit(2).alias("rank"), i.alias("i"), surrogate(kind, value, draw(i)).alias("v")))
@@ -33,15 +34,18 @@ def _first(rows: Column, n: int) -> Column:
 
 def perturbed(kind: Column, value: Column, n: int, seed: int = 0) -> Column:
     """Up to n distinct values of the value's shape, none of them the value."""
-    return _first(F.filter(_drawn(kind, value, n, seed), lambda x: x["rank"] == 2), n)
+    return _first(F.filter(_drawn(kind, value, n, seed, ()), lambda x: x["rank"] == 2), n)
 
 
 def outside_corpus(targets: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """entity_type, value, made: up to n values that are no value of the corpus: of the type's grammar and like the value,
     then of the grammar, then of the value's shape."""
-    asked = spread(targets.select("entity_type", "value").distinct())  # a value is short, its draws take long
-    rows = asked.select("entity_type", "value", F.explode(_drawn(F.col("entity_type"), F.col("value"), n, seed)).alias("x"))
-    free = rows.withColumn("v", F.col("x.v")).join(targets.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
+    asked = stored(targets.select("entity_type", "value").distinct(), "values")
+    kinds = {r[0] for r in asked.select(F.upper("entity_type")).distinct().collect()}  # types, not values
+    # a value is short, its draws take long; planned with the joins below they would be copied into filters and planned many times
+    drawn = stored(spread(asked).select("entity_type", "value", _drawn(F.col("entity_type"), F.col("value"), n, seed, kinds).alias("xs")), "draws")
+    rows = drawn.select("entity_type", "value", F.explode("xs").alias("x"))
+    free = rows.withColumn("v", F.col("x.v")).join(asked.select(F.col("value").alias("v")).distinct(), "v", "left_anti")
     return free.groupBy("entity_type", "value").agg(_first(F.collect_list("x"), n).alias("made"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -18,6 +19,7 @@ from ..functions.documents import bump_minor
 from ..functions.grammars import generated
 from ..functions.patterns import at_least
 from ..operators import audit, policy, references, text
+from .running import stored
 
 #: an audit of a training copy: findings (id, start, end of the raw corpus, entity_type, severity) and strengths
 #: (entity_type, null for all; auc)
@@ -78,7 +80,8 @@ def replaced_copy(raw: DataFrame, train: DataFrame, findings: DataFrame, types:
     spans = text.translate(chosen, raw, train, only_original=True)
     spans = spans.groupBy("id").agg(F.collect_list(F.struct(F.col("train_start").alias("start"), F.col("train_end").alias("end"))).alias("__chosen"))
     rows = train.join(spans, "id", "left")
-    return text.sanitize(rows, settings.strategy, seed=settings.seed, chosen="__chosen", make=generated).drop("__chosen")
+    held = {r[0] for r in raw.select(F.explode("entities.entity_type").alias("k")).select(F.upper("k")).distinct().collect()}  # types, not values
+    return text.sanitize(rows, settings.strategy, seed=settings.seed, chosen="__chosen", make=partial(generated, kinds=held)).drop("__chosen")
 
 
 def replaced_counts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -145,8 +148,9 @@ def gram_audit(raw: DataFrame, folder: str, n: int = 5, order: int = 4, fdr: flo
 
     def run(train: DataFrame) -> tuple[DataFrame, DataFrame]:
         losses = audit.gram_losses(options, audit.gram_counts(train, order), order)
-        scores = audit.evidence(losses, asked).where("method = 'loss'").persist()  # read by some five jobs; lost blocks are made again
-        found = audit.entity_risk(audit.benjamini_hochberg(audit.gather(scores, ["loss"], "loss")), fdr)
+        scores = stored(audit.evidence(losses, asked).where("method = 'loss'"), "scores")  # read by some five jobs
+        judged = stored(audit.gather(scores, ["loss"], "loss"), "judged")  # ranked by several jobs, each of which would judge again
+        found = audit.entity_risk(audit.benjamini_hochberg(judged), fdr)
         at = asked.select(F.concat_ws("#", "id", "pos").alias("entity"), "id", "start", "end")
         strengths = audit.type_strength(scores).select("entity_type", "auc")
         whole = audit.attack_strength(scores).select(F.lit(None).cast("string").alias("entity_type"), "auc")

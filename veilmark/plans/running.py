@@ -7,8 +7,10 @@ before it are added.  The result doesn't depend on how good the quantiles are, o
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,5 +60,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir; where it is unset in the warehouse, or on one machine in a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp(prefix="veilmark-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in a shared folder and read again, so that what follows neither works it out nor plans it again."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def half_up(x: Column, digits: int) -> Column:
     return F.round(x, digits)
