@@ -108,3 +108,22 @@ def test_chats(spark):
     assert (stop.request, stop.completion, stop.request_outcome, stop.completion_outcome) == (None, None, "blocked", "blocked")
     only = guard.guard_chats(df.where("chat_id = 1"), guard.GuardPolicy(outbound={"CREDITCARDNUMBER": "block"})).first()
     assert only.request is not None and only.completion is None and only.completion_outcome == "blocked"
+
+
+def test_large_batches_of_chats_are_rewritten_some_at_a_time():
+    """A batch's documents never all become Python objects at once, and none is lost."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    documents = ['{"messages": [{"role": "user", "content": "%s"}]}' % (f"{i:05d} " + "x" * 4000) for i in range(3000)]
+    chats = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(3000)]), pa.array(documents)], names=["chat", "request"])
+    edits = pa.array([[{"path": "0", "shown": f"shown {i}"}] for i in range(3000)])
+    joined = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(documents), edits, pa.array([i % 2 == 0 for i in range(3000)])], names=["chat_id", "request", "request_edits", "masked"])
+    tracemalloc.start()
+    turns = [t for b in guard.piece_maker("user", 5)([chats]) for t in b["turn"].to_pylist()]
+    texts = [x[27:] for b in guard.rewriter("note", ["request"], ["chat_id"])([joined]) for x in b["request_new"].to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert turns == [5] * 3000 and len(texts) == 3000 and all(f"shown {i}" in x for i, x in enumerate(texts))
+    assert most < 6_000_000  # the texts alone are 12 MB

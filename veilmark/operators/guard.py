@@ -17,7 +17,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,7 +151,9 @@ def guard_conversations(turns: DataFrame, policy: GuardPolicy = GuardPolicy(), m
 
 # --- chat documents -------------------------------------------------------------------------------
 NOTE = "Placeholders such as [EMAIL_1] in this conversation stand for personal details; repeat them unchanged."
-_PIECES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType()), T.StructField("json", T.BooleanType())]))
+_PIECES = "chat string, role string, turn long, path string, text string, json boolean"
+#: documents that a task holds as Python objects at once; an Arrow batch has thousands, and its texts stay in Arrow until then
+_AT_ONCE = 128
 
 
 def _messages(document: object) -> list:
@@ -188,12 +190,24 @@ def _loaded(text: str | None) -> object:
         return None
 
 
-@F.pandas_udf(_PIECES)
-def _pieces(documents: pd.Series) -> pd.Series:
-    return documents.map(lambda text: [{"path": p, "text": holder[k], "json": j} for p, holder, k, j in _strings(_loaded(text))])
+def piece_maker(role: str, turn: int):
+    """A row of _PIECES for each text of (chat, document) that the guard looks at, some documents at a time."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                chats, documents = (c.to_pylist() for c in batch.slice(at, _AT_ONCE).columns)
+                rows = [(chat, role, turn + n, p, holder[k], j) for chat, d in zip(chats, documents, strict=True) for n, (p, holder, k, j) in enumerate(_strings(_loaded(d)))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chat", "role", "turn", "path", "text", "json"])
+
+    return run
+
+
+def rewriter(note: str, sides: Sequence[str], keep: Sequence[str]):
+    """The columns keep, then for each side its document with its edits, the first side with the note where masked; some documents at a time."""
 
-def _rewritten(note: str):
     def one(text: str | None, edits, masked: bool) -> str | None:
         document, shown = _loaded(text), {} if edits is None else {e["path"]: e["shown"] for e in edits}
         for path, holder, k, _ in _strings(document):
@@ -202,11 +216,19 @@ def _rewritten(note: str):
             document["messages"] = [{"role": "system", "content": note}, *document["messages"]]
         return json.dumps(document, ensure_ascii=False) if isinstance(document, dict) else None
 
-    def run(documents: pd.Series, edits: pd.Series, masked: pd.Series) -> pd.Series:
-        return pd.Series([one(d, e, m) for d, e, m in zip(documents, edits, masked, strict=True)], dtype=object)
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _AT_ONCE):
+                rows = batch.slice(at, _AT_ONCE)
+                column = lambda name: rows.column(rows.schema.get_field_index(name))  # noqa: B023, E731
+                masked = column("masked").to_pylist()
+                new = []
+                for place, side in enumerate(sides):
+                    flags = masked if place == 0 else [False] * len(masked)
+                    new.append(pa.array([one(d.as_py(), e.as_py(), m) for d, e, m in zip(column(side), column(f"{side}_edits"), flags, strict=True)], pa.string()))
+                yield pa.RecordBatch.from_arrays([*map(column, keep), *new], names=[*keep, *[f"{s}_new" for s in sides]])
 
-    run.__annotations__ = {"documents": pd.Series, "edits": pd.Series, "masked": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, T.StringType())
+    return run
 
 
 def guard_chats(chats: DataFrame, policy: GuardPolicy = GuardPolicy(), memorized: frozenset[str] = frozenset(), key: bytes = b"", detectors: Sequence[D.Detector | str] = ("patterns",), note: str = NOTE) -> DataFrame:
@@ -218,8 +240,8 @@ def guard_chats(chats: DataFrame, policy: GuardPolicy = GuardPolicy(), memorized
     """
     chats = chats.select("chat_id", "request", "completion")
     chats = chats.withColumn("chat", F.sha2(F.to_json(F.struct("chat_id", "request", "completion")).cast("binary"), 256))
-    side = lambda name, role, turn: chats.select("chat", F.lit(role).alias("role"), F.lit(turn).alias("turn"), F.posexplode(_pieces(F.col(name))).alias("place", "p"))
-    pieces = side("request", "user", 0).union(side("completion", "assistant", 1 << 40)).select("chat", "role", (F.col("turn") + F.col("place")).alias("turn"), "p.*")
+    side = lambda name, role, turn: chats.select("chat", name).mapInArrow(piece_maker(role, turn), _PIECES)
+    pieces = side("request", "user", 0).union(side("completion", "assistant", 1 << 40))
     rows = keyed(pieces.withColumnRenamed("chat", "conv_id"))
     done = guard_texts(rows, policy, memorized, key, detectors)
     some = lambda role: F.col("role") == role
@@ -231,8 +253,10 @@ def guard_chats(chats: DataFrame, policy: GuardPolicy = GuardPolicy(), memorized
     joined = chats.join(done.groupBy(F.col("conv_id").alias("chat")).agg(*sides), "chat", "left")
     masked = F.coalesce(F.col("request_n_masked") > 0, F.lit(False))
     blocked = {n: F.coalesce(F.col(f"{n}_blocked"), F.lit(False)) for n in by_side}
-    new = {f"{n}_new": _rewritten(note)(F.col(n), F.col(f"{n}_edits"), masked if n == "request" else F.lit(False)) for n in by_side}
-    joined = joined.withColumns(new)
+    joined = joined.withColumn("masked", masked)
+    keep = [f for f in joined.schema.fields if f.name not in {"chat", "masked", *by_side, *[f"{n}_edits" for n in by_side]}]
+    schema = T.StructType([*keep, *[T.StructField(f"{n}_new", T.StringType()) for n in by_side]])
+    joined = joined.drop("chat").mapInArrow(rewriter(note, list(by_side), [f.name for f in keep]), schema)
     gone = {"request": blocked["request"], "completion": blocked["request"] | blocked["completion"]}
     touched = lambda n: F.coalesce(sum((F.col(f"{n}_{c}") for c in ("n_masked", "n_redacted", "n_known")), F.lit(0)), F.lit(0)) > 0
     outcome = lambda n: F.when(F.col(f"{n}_new").isNull(), "unreadable").when(gone[n], "blocked").when(touched(n), "protected").otherwise("passed")
