@@ -340,3 +340,58 @@ def test_passages_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one, two, three = (sorted(map(tuple, repeated_passages(spark, df.repartition(n, F.xxhash64("doc_id", F.lit(n)))).collect())) for n in (1, 3, 11))
     assert one and one == two == three
+
+
+def test_prefixes_of_like_nodes_share_enough_entries():
+    import numpy as np
+    import pyarrow as pa
+
+    from veilmark.llm.passage_kernels import prefix_maker
+    from veilmark.llm.passages import PassageParams
+
+    r, nodes = np.random.default_rng(5), []
+    for _ in range(120):
+        held = r.choice(60, int(r.integers(4, 40)), replace=False)
+        nodes.append((set(held.tolist()), int(r.integers(1, len(held) + 1))))
+    n = {e: sum(e in a for a, _ in nodes) for e in range(60)}
+    held = [[{"n": n[e], "entry": e, "at": 0, "wanted": True} for e in a] for a, _ in nodes]
+    columns = {"node": range(120), "grp": [1] * 120, "late": [True] * 120, "size": [91] * 120, "need": [x for _, x in nodes]}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in columns.values()] + [pa.array(held)], names=[*columns, "held"])
+    taken, enough = collections.defaultdict(set), {}
+    for out in prefix_maker(PassageParams())(iter([batch])):
+        for x in out.to_pylist():
+            taken[x["node"]].add(x["entry"])
+            enough[x["node"]] = x["enough"]
+    meet, one, like = set(), set(), set()
+    for a in range(120):
+        for b in range(a):
+            both = len(taken[a] & taken[b])
+            one |= {(a, b)} if both else set()
+            meet |= {(a, b)} if both >= max(enough.get(a, 1), enough.get(b, 1)) else set()
+            like |= {(a, b)} if len(nodes[a][0] & nodes[b][0]) >= max(nodes[a][1], nodes[b][1]) else set()
+    assert like and like <= meet and len(meet) < len(one)
+
+
+def test_members_that_share_too_few_entries_do_not_meet(spark):
+    from veilmark.llm.passages import _all_meetings
+
+    rows = [(e, n, True, n, k) for n, k, es in ((1, 4, (1, 2, 3, 4, 5)), (2, 4, (2, 3, 4, 5)), (3, 4, (3, 4, 5)), (4, 1, (5,)), (5, 1, (6,)), (6, 1, (6, 7))) for e in es]
+    mixed = spark.createDataFrame(rows, "entry long, node long, late boolean, component long, enough int")
+    assert {(x.node, x.other) for x in _all_meetings(mixed).collect()} == {(2, 1), (6, 5)}
+
+
+def test_passages_of_many_pairs_at_once_equal_those_of_each():
+    import numpy as np
+
+    from veilmark.llm.passage_kernels import like_passages, passages
+    from veilmark.llm.passages import PassageParams
+
+    r, p = np.random.default_rng(6), PassageParams()
+    flat = lambda parts: (np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
+    xs = [r.integers(0, int(r.choice([3, 40, 5000])), int(r.integers(0, 200))).astype(np.uint64) for _ in range(200)]
+    ys = [np.delete(x, r.integers(0, len(x), 2)) if len(x) else x for x in xs]
+    shifts = [np.array(sorted({0, int(r.integers(-5, 5))})) for _ in xs]
+    got = [[] for _ in xs]
+    for q, found in like_passages(*flat(xs), *flat(ys), *flat(shifts), p):
+        got[q].append(found)
+    assert any(got) and got == [passages(x, y, d, p) for x, y, d in zip(xs, ys, shifts, strict=True)]
