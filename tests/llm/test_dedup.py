@@ -395,3 +395,51 @@ def test_passages_of_many_pairs_at_once_equal_those_of_each():
     for q, found in like_passages(*flat(xs), *flat(ys), *flat(shifts), p):
         got[q].append(found)
     assert any(got) and got == [passages(x, y, d, p) for x, y, d in zip(xs, ys, shifts, strict=True)]
+
+
+def needs(text, at):
+    """need of nodes at the places, as context_maker gives it."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veilmark.llm.passage_kernels import context_maker
+    from veilmark.llm.passages import PassageParams
+
+    words = np.array([hash(w) & 0x7FFFFFFF for w in text], dtype=np.int32)
+    held = [{"grp": 1, "node": i, "c": c, "late": True} for i, c in enumerate(at)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([words.tolist()], pa.list_(pa.int32())), pa.array([held])], names=["doc_id", "words", "nodes"])
+    return [need for _, need in sorted({(x["node"], x["need"]) for out in context_maker(PassageParams())(iter([batch])) for x in out.to_pylist()})]
+
+
+def test_runs_of_one_word_need_more_than_that_word():
+    r = random.Random(4)
+    pad = near_words(r, 60)
+    assert needs(pad + ["of"] * 70 + pad, (10, 90, 95)) == [37, 3, 3]  # 50 equal words are an exact passage
+    assert needs(["a", "b"] * 60, (30, 31)) == [2, 2]  # two words in turn may begin with either
+    text = [r.choice("ab") for _ in range(30)] + ["c"] * 20 + [r.choice("abcdefgh") for _ in range(60)]
+    for c in (40, 60, 80):
+        part = [tuple(text[i : i + 5]) for i in range(len(text) - 4)][max(0, c - 45) : c + 46]
+        least = min(len(set(part[s : s + 46])) for s in range(len(part) - 45))
+        assert needs(text, (c,)) == [-(-max(3, least) * 80 // 100)]
+
+
+def test_members_meet_where_a_passage_may_hold_both_anchors(spark):
+    from veilmark.llm.passages import PassageParams, _likely_meetings
+
+    some, every, odd = range(3, 80), range(91), range(1, 91, 2)
+    rows = []
+
+    def put(node, doc, group, places, rest=()):
+        bits = [sum(1 << at % 62 for at in rest if at // 62 == i) for i in range(2)]
+        rows.extend((100 * group + at, node, node % 10 > 1, 4, at, True, *bits, doc, node) for at in places)
+
+    # 2 has a passage with 1, 3 only every other shingle of it, 4 lies in the document of 1
+    put(1, 10, 1, every)
+    put(2, 20, 1, some)
+    put(3, 30, 1, odd)
+    put(4, 10, 1, some)
+    # what was not looked up may be in common
+    put(11, 40, 2, odd, range(0, 91, 2))
+    put(12, 50, 2, odd, range(0, 91, 2))
+    mixed = spark.createDataFrame(rows, "entry long, node long, late boolean, enough int, at int, told boolean, rest0 long, rest1 long, doc_id long, component long")
+    assert {(x.node, x.other) for x in _likely_meetings(mixed, PassageParams()).collect()} == {(2, 1), (4, 2), (12, 11)}
