@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -443,3 +444,52 @@ def test_members_meet_where_a_passage_may_hold_both_anchors(spark):
     put(12, 50, 2, odd, range(0, 91, 2))
     mixed = spark.createDataFrame(rows, "entry long, node long, late boolean, enough int, at int, told boolean, rest0 long, rest1 long, doc_id long, component long")
     assert {(x.node, x.other) for x in _likely_meetings(mixed, PassageParams()).collect()} == {(2, 1), (4, 2), (12, 11)}
+
+
+def keys_of(nodes):
+    """{node: {entry: sharp}} as key_maker gives it, of (entry by place, need) each."""
+    import pyarrow as pa
+
+    from veilmark.llm.passage_kernels import key_maker
+    from veilmark.llm.passages import PassageParams
+
+    n = collections.Counter(e for held, _ in nodes for e in held.values())
+    held = [[{"n": n[e], "entry": e, "at": at, "wanted": True} for at, e in held.items() if n[e] > 1] for held, _ in nodes]
+    columns = [pa.array(range(len(nodes))), pa.array([True] * len(nodes)), pa.array([need for _, need in nodes]), pa.array(held)]
+    out = collections.defaultdict(dict)
+    for batch in key_maker(PassageParams())(iter([pa.RecordBatch.from_arrays(columns, names=["node", "late", "need", "held"])])):
+        for x in batch.to_pylist():
+            out[x["node"]][x["entry"]] = x["sharp"]
+    return out
+
+
+def test_like_nodes_share_a_key():
+    """Copies of one text with edits: whatever passage over the anchor two of them share, they have a key in common."""
+    r, like, kept, meet = random.Random(14), 0, 0, 0
+    for edits in (1, 2, 3, 5):
+        nodes = []
+        for i in range(24):
+            lost = {q for _ in range(r.randrange(edits + 1)) for c in [r.randrange(-4, 91)] for q in range(c, c + 5)} - {45}
+            nodes.append(({q: 1000 * (i + 1) + q if q in lost else q for q in range(91)}, 37))
+        keys = keys_of(nodes)
+        for a in range(24):
+            kept += len(keys[a])
+            for b in range(a):
+                both = [0, *itertools.accumulate(nodes[a][0][q] == nodes[b][0][q] for q in range(91))]
+                spans = [(t - s, both[t] - both[s]) for s in range(46) for t in range(s + 46, 92)]
+                some, sharp = keys[a].keys() & keys[b].keys(), {e for e, x in keys[a].items() if x and keys[b].get(e)}
+                assert some or not any(100 * c >= 80 * n for n, c in spans)
+                # both sides have 46 different shingles at least
+                found = any(100 * c >= 80 * max(n, 46) and 100 * c >= 80 * (n + 46 - c) for n, c in spans)
+                assert sharp or not found
+                like += found
+                meet += bool(sharp)
+    assert like > 200 and meet < 4 * 24 * 23 // 2 and kept < 4 * 24 * 30
+
+
+def test_runs_of_one_word_have_no_key_in_common():
+    """Nodes of a group that share the shingle of its run alone do not meet."""
+    nodes = [({45: 1, 46: 10 * i, 47: 10 * i + 1, 48: 10 * i + 2, 44: 5000 + i // 2, 43: 6000 + i // 2}, 3) for i in range(1, 21)]
+    keys = keys_of(nodes)
+    common = {(a, b) for a in range(20) for b in range(a) if keys[a].keys() & keys[b].keys()}
+    assert common == {(a, b) for a in range(20) for b in range(a) if (a + 1) // 2 == (b + 1) // 2}
