@@ -493,3 +493,33 @@ def test_runs_of_one_word_have_no_key_in_common():
     keys = keys_of(nodes)
     common = {(a, b) for a in range(20) for b in range(a) if keys[a].keys() & keys[b].keys()}
     assert common == {(a, b) for a in range(20) for b in range(a) if (a + 1) // 2 == (b + 1) // 2}
+
+
+def test_edits_near_every_common_anchor(spark):
+    """Short texts with an edit so near their start that few common minima have many equal words on one side."""
+    r, rows = random.Random(21), []
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    for n, at in ((50, 15), (52, 16)):
+        for _ in range(60):
+            base = [word() for _ in range(n)]
+            rows += [base, [*base[:at], word(), *base[at + 1 :]]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    links = linked(repeated_passages(spark, df).collect())
+    assert sum((i + 1, i) in links for i in range(0, len(rows), 2)) >= 115
+
+
+def test_equal_minima_of_many_texts_stay_apart():
+    """Texts are told apart by 64 bits: with 32, some of many texts that share a beginning would count as equal."""
+    import pyarrow as pa
+
+    from veilmark.llm.passage_kernels import window_maker
+    from veilmark.llm.passages import PassageParams
+
+    r = random.Random(22)
+    begin = near_words(r, 60)
+    texts = [" ".join([*begin, f"end{i}"]) for i in range(3000)]
+    marks = collections.defaultdict(set)
+    for out in window_maker(PassageParams())(iter([pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], names=["doc_id", "text"])])):
+        for x in out.to_pylist():
+            marks[x["mark"]].add(x["doc_id"])
+    assert len(marks) == 3000 and max(m.bit_length() for m in marks) > 40
